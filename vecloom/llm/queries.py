@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import quality_rules, secret_scan
+from vecloom.llm import quality_rules, secret_scan, simhash_dedup, stratified_shards
 from vecloom.llm.common import table
 
 
@@ -17,5 +17,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stratified_shards.shard(table(spark, sf_dir, "documents"))
+
+
+def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
