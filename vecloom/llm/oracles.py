@@ -1,5 +1,29 @@
 """SQL that gives the rows of those queries that SQL can express."""
 
+#: Conversations: examples are joined prefixes, so their length is a running sum.
+CHAT = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, role = 'assistant' AS target,
+    length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('<turn >') + length('</turn>') + 1 AS chars,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n
+  FROM turns
+), prefixed AS (
+  SELECT *, sum(chars) OVER (PARTITION BY conv_id ORDER BY i) AS prefix FROM sized
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (target), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (target), '')) AS loss_sha256,
+  sum(CASE WHEN target THEN prefix + length(' train') WHEN i = n THEN prefix ELSE 0 END)::BIGINT AS formatted_chars,
+  count(*) FILTER (target OR i = n) AS n_examples
+FROM prefixed GROUP BY conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_format": CHAT}

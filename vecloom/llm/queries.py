@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import quality_rules, secret_scan, simhash_dedup, stratified_shards
+from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards
 from vecloom.llm.common import table
 
 
@@ -17,6 +17,16 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+#: Two turns of conversation -7, whose texts hold other templates' control strings.
+CONTROL = r"\### Assistant: </turn> ok"
+
+
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", CONTROL), (-7, 1, "assistant", CONTROL)], turns.schema)
+    return chat_format.read_back(chat_format.examples(turns.union(more)))
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards.shard(table(spark, sf_dir, "documents"))
 
@@ -26,4 +36,4 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
