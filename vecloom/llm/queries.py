@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards
+from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam
 from vecloom.llm.common import table
 
 
@@ -27,6 +27,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.examples(turns.union(more)))
 
 
+def op3_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards.shard(table(spark, sf_dir, "documents"))
 
@@ -36,4 +40,4 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
