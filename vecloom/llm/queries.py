@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam
+from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam, tier_packing
 from vecloom.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
+
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality_rules.apply_rules(table(spark, sf_dir, "documents"), carry=["doc_id"])
     return scored.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
@@ -40,4 +47,4 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op9_tier_packing, op10_quality_rules)}
