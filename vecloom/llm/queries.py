@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam, tier_packing
+from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam, tier_packing, warc_revisit, zstd_language
 from vecloom.llm.common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -15,6 +15,17 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.archive(table(spark, sf_dir, "pages"))
+
+
+def op8_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
+    dictionaries = zstd_language.learn(docs.where(~F.col("held_out") & F.col("lang").isNotNull()))
+    return zstd_language.classify(docs, dictionaries, ["doc_id", "held_out"])
+
+
 def op9_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -47,4 +58,4 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op9_tier_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op7_warc_revisit, op8_zstd_language, op9_tier_packing, op10_quality_rules)}
