@@ -10,8 +10,8 @@ Prediction: a text is compressed whole with each language's dictionary, and the
 The result is rejected (`rejected`, the choice stays visible) where the runner-up is nearly as small: by less than
 MARGIN_BYTES or MARGIN_SHARE of it. `score` is the softmax of the negative sizes in units of SCALE_BYTES.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; of equal sizes the language first
-in order wins; repeated rows get equal results; without any labelled row all texts are `und`; an empty table gives an
+Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; of equal sizes the language
+that is commoner among the learned rows wins; repeated rows get equal results; without any labelled row all texts are `und`; an empty table gives an
 empty result; languages are learned as they are written, the empty string included.
 """
 
@@ -42,7 +42,7 @@ def letters(text: str) -> bytes:
 
 
 def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_cols: tuple[str, ...] = ("doc_id",)) -> dict[str, bytes]:
-    """A raw-content dictionary for each language."""
+    """A raw-content dictionary for each language, the commonest first."""
     rows = labelled.select(at(lang_col).cast("string").alias("lang"), at(text_col).cast("string").alias("t"), F.pmod(F.xxhash64(*map(at, order_cols)), F.lit(1 << 30)).alias("h")).where("lang is not null and t is not null")
     fit = F.char_length("t").between(TEXT_LEAST, TEXT_MOST)
     # One row for each language; languages beyond the commonest MAX_LANGUAGES are not learned.
@@ -68,12 +68,12 @@ def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", o
             if size >= DICT_BYTES:
                 break
         out[lang] = b"\n".join(reversed(raw))[-DICT_BYTES:]
-    return dict(sorted(out.items()))
+    return {r["lang"]: out[r["lang"]] for r in counts if r["lang"] in out}
 
 
 class Classifier:
     def __init__(self, dictionaries: dict[str, bytes]):
-        self.langs = sorted(dictionaries)
+        self.langs = list(dictionaries)
         self.by = []
         for lang in self.langs:
             d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
