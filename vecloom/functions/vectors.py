@@ -87,7 +87,8 @@ def evenly_spaced(count: int, want: int) -> list[int]:
 
 def sample_positions(count: int, want: int) -> list[int]:
     """Positions of an even sample for training."""
-    return [i * count // want for i in range(min(count, want))]
+    want = min(count, want)
+    return [i * count // want for i in range(want)]
 
 
 def nodes_per_page(page_size: int, dim: int, degree: int, code_bytes: int) -> int:

@@ -142,12 +142,9 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = 64, b
     spark = index.sparkSession
     out = None
     block = max(1, knn.BROADCAST_BYTES // 1024)
-    n = -(-queries.count() // block)
-    for b in range(max(1, n)):
-        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else queries
-        sent = spark.sparkContext.broadcast([(r[0], np.array(r[1], float)) for r in part.select("qid", "qv").collect()])
 
-        def run(rows: pd.DataFrame, sent=sent) -> pd.DataFrame:
+    def runner(sent):
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
             rows = rows.sort_values("id")
             ids, v = rows["id"].to_numpy(), np.stack(rows["v"].to_numpy())
             at = {x: i for i, x in enumerate(ids.tolist())}
@@ -164,8 +161,14 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, width: int = 64, b
                     got, expanded = kernels.search(exact, exact, edges, start, k, width, beam, rerank, **stops)
                 found += [(qid, expanded, 0.0)] if stats else [(qid, int(ids[x]), d) for d, x in got]
             return pd.DataFrame(found, columns=["qid", "id", "dist"])
+        return run
+
+    n = -(-queries.count() // block)
+    for b in range(max(1, n)):
+        part = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else queries
+        sent = spark.sparkContext.broadcast([(r[0], np.array(r[1], float)) for r in part.select("qid", "qv").collect()])
 
-        got = index.groupBy("shard").applyInPandas(run, "qid long, id long, dist double")
+        got = index.groupBy("shard").applyInPandas(runner(sent), "qid long, id long, dist double")
         out = got if out is None else out.union(got)
     return out.groupBy("qid").agg(F.sum("id").alias("expanded")) if stats else knn.rank(out, k)
 

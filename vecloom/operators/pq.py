@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloom.functions.vectors import pq_offsets, sample_positions, squared_l2
 from vecloom.operators import knn
-from vecloom.operators.kmeans import matrix, nearest, sums
+from vecloom.operators.kmeans import DIGITS, matrix, nearest, sums
 
 
 @dataclass
@@ -153,7 +153,8 @@ def adc_topk(codes: DataFrame, queries: DataFrame, book: Codebook, k: int) -> Da
     small = knn.bounded(queries, row_bytes)
     pairs = codes.crossJoin(F.broadcast(tables) if small else tables)
     near = F.aggregate(F.zip_with("table", "code", lambda t, c: t[c.cast("int")]), F.lit(0.0), lambda s, x: s + x)
-    return knn.rank(pairs.select("qid", "id", near.alias("dist")), k)
+    # Sums of table entries tie often: nine digits make ties equal in whatever order they were summed.
+    return knn.rank(pairs.select("qid", "id", F.round(near, DIGITS).alias("dist")), k)
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
