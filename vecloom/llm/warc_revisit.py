@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm.common import at, remove, scratch, texts
+from vecloom.llm.common import at, materialize, remove, scratch, texts
 
 #: Fixed values of the format.
 VERSION, END, BETWEEN = "WARC/1.1", "\r\n", "\r\n\r\n"
@@ -174,6 +174,8 @@ def resolve(spark: SparkSession, source: str, target: str) -> None:
     # Payloads of one digest only: the others need no second look.
     again = headers.join(first.where("n > 1"), "digest").where(F.col("rid") != F.col("first.rid"))
     again = again.select("rid", F.col("first.rid").alias("original"), F.col("first.page").alias("original_page"), F.col("first.url").alias("original_url"))
+    # Written first, so that Spark knows its size: where it is small, payloads are not shuffled.
+    again = materialize(again, "revisits")
     every = read(spark, source, payload=True).drop("original", "original_page", "type")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
