@@ -16,7 +16,7 @@ K = 10
 BOOK = {"subspaces": 4, "centroids": 8}
 RP = {"planes": 4, "window": 8, "seed": t.SEED}
 LSH = {"tables": 4, "bits": 8, "seed": t.SEED}
-DELETED = F.col("id") % 7 == 3
+DELETED = "id % 7 = 3"
 TREES = """base_score=0.5
 booster[0]:
 0:[num_candidates_on_page<2] yes=1,no=2,missing=1
