@@ -16,7 +16,7 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_revisit.archive(table(spark, sf_dir, "pages"))
+    return warc_revisit.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op8_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    report = suffix_decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
