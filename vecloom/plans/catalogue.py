@@ -302,7 +302,7 @@ def robust_prune_invariants(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _graph(spark: SparkSession, d: str) -> DataFrame:
-    return index.vamana(t.vectors(spark, d), index.BuildConfig(degree=16, candidate_limit=64))
+    return index.vamana(t.vectors(spark, d), index.BuildConfig(degree=24, candidate_limit=96))
 
 
 def _found(name: str, found: DataFrame, truth: DataFrame) -> DataFrame:
@@ -313,10 +313,10 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Graph, inverted-file and quantized search against the exact result."""
     b, q, truth = t.vectors(spark, d), t.queries(spark, d), t.top(spark, d, K)
     g, book = _graph(spark, d), pq.fit(b, 16, 64)
-    graph = index.search(g, q, K, width=96)
-    coded = index.search(g, q, K, width=160, beam=16, rerank=100, book=book)
+    graph = index.search(g, q, K, width=256, beam=8)
+    coded = index.search(g, q, K, width=256, beam=8, rerank=100, book=book)
     quantized = pq.search(b, pq.encode(b, book), q, book, K, 100)
-    inverted = ivf.IvfFlat.build(b, 16).search(q, K, nprobe=8)
+    inverted = ivf.IvfFlat.build(b, 16).search(q, K, nprobe=12)
     out = None
     for name, found in (("graph", graph), ("graph_pq", coded), ("pq_rerank", quantized), ("ivf", inverted)):
         one = _found(name, found, truth)

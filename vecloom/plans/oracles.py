@@ -161,7 +161,7 @@ ORACLES = {
     "knn_self_graph": ctes(B, graph(4)) + "SELECT src, pos, dst, round(dist, 6) AS dist FROM e",
     # functions
     "l2_pairs": ctes(B) + f"SELECT x.id, round({l2('x.v', 'y.v')}, 6) AS l2, round({dot('x.v', 'y.v')}, 6) AS ip FROM b x JOIN b y ON y.id = x.id + 1",
-    "projection_scores": ctes(B, projected(4)) + "SELECT id, plane, round(raw, 6) AS score FROM scores",
+    "projection_scores": ctes(B, projected(4)) + "SELECT id, plane, round(round(raw, 9), 6) AS score FROM scores",
     "simhash_signature": ctes(B, SIGNATURES) + 'SELECT id, tbl::INT AS "table", signature FROM sig',
     "mix_u32": "WITH x0 AS (SELECT vec_id AS id, (vec_id * 1000003) & 4294967295 AS x FROM embeddings), x1 AS (SELECT id, (xor(x, x >> 16)::HUGEINT * 2246822507 % 4294967296)::BIGINT AS x FROM x0), "
     "x2 AS (SELECT id, (xor(x, x >> 13)::HUGEINT * 3266489909 % 4294967296)::BIGINT AS x FROM x1) SELECT id, xor(x, x >> 16) AS mixed FROM x2",

@@ -10,7 +10,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from vecloom.operators import oplog
 
@@ -79,7 +79,8 @@ class OplogStore:
             start = self.manifest.next_sequence
             # Positions without a global sort: partitions are ranges of `order`, and zipWithIndex counts them.
             ranged = ops.repartitionByRange("order").sortWithinPartitions("order")
-            rows = ranged.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0])).toDF(["seq", *ops.columns]) if ops.take(1) else ops.withColumn("seq", F.lit(0))
+            schema = T.StructType([T.StructField("seq", T.LongType()), *ops.schema.fields])
+            rows = self.spark.createDataFrame(ranged.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0])), schema)
         rows = rows.select(F.col("seq").cast("long"), F.col("node_id").cast("long"), F.coalesce(F.size("v"), F.lit(0)).alias("dim"), F.col("v").cast("array<double>").alias("v"), F.col("nbrs").cast("array<long>").alias("nbrs"), F.col("deleted").cast("boolean"))
         table = self._add(rows, 0)
         last = self.spark.read.parquet(f"{self.path}/{table['path']}").agg(F.max("seq")).head()[0]
