@@ -33,6 +33,20 @@ def forest(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in parent]
 
 
+def spanning(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those of the pairs that join what the ones before didn't."""
+    group: dict[int, int] = {}
+    out = []
+    for a, b in pairs:
+        x, y = group.setdefault(a, a), group.setdefault(b, b)
+        if x != y:
+            out.append((a, b))
+            for node, g in group.items():
+                if g == y:
+                    group[node] = x
+    return out
+
+
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pairs = [p for b in batches for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
     found = forest(pairs)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from vecloom.llm.common import at, materialize, texts
-from vecloom.llm.components import components, forest
+from vecloom.llm.components import components, spanning
 
 SEED, SHINGLE, BUCKET = 42, 3, 16
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -135,8 +135,7 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: set[tuple[int, int]] = set()
         for group in b.column(0).to_pylist():
             pairs = [(x, y) for i, x in enumerate(group) for y in group[:i] if ((x ^ y) & 0xFFFFFFFFFFFFFFFF).bit_count() <= 2]
-            if pairs:
-                out.update(forest(pairs) if len(pairs) > 1 else pairs)
+            out.update(spanning(pairs))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
@@ -161,13 +160,14 @@ def links(distinct_fp: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def classes(found: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """found: columns fp and id, materialized. (fp, component_id) for every fingerprint; the id is the component's smallest."""
+    """found: columns fp and id, materialized. (fp, root, component_id) for every fingerprint; the id is the component's smallest."""
     first = materialize(found.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
     linked = components(links(first.select("fp"), bucket))
     nodes = materialize(linked.union(linked.select("root", "root").distinct()), "nodes")
     named = nodes.join(first, nodes["node"] == first["fp"]).groupBy("root").agg(F.min("first").alias("least"))
-    by_node = nodes.join(named, "root").select(F.col("node").alias("fp"), "least")
-    return first.join(by_node, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
+    by_node = nodes.join(named, "root").select(F.col("node").alias("fp"), "root", "least")
+    # A null least is a component without any id, where first is null as well.
+    return first.join(by_node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -182,8 +182,6 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = materialize(fingerprints(docs, text_col, docs.columns, shingle).withColumn("rid", F.monotonically_increasing_id()), "simhash-rows")
     slim = found.select("rid", "fp", F.col("row")[id_col].alias("id"))
     by_fp = slim.join(classes(slim.select("fp", "id"), bucket), "fp")
-    # A component without any id falls apart by fingerprint.
-    group = F.struct("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("lone")).alias("g")
-    ranked = by_fp.select(group, F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("o"))
-    winners = ranked.groupBy("g").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("rid"))
+    ranked = by_fp.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("o"))
+    winners = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("rid"))
     return found.join(winners, "rid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
