@@ -3,8 +3,8 @@ import numpy as np
 import public_tokenizers
 import pytest
 from llm_cases import edge_documents
+from test_near_copies import brute as classes
 from test_quality_rules import brute as counts
-from test_simhash_dedup import brute as classes
 from test_suffix_decontam import brute as hits
 from tokenizers import Tokenizer
 from vecloom.llm import quality_rules as Q, secret_scan
@@ -22,7 +22,7 @@ def test_pipeline_against_plain_versions(spark):
     votes = Q.votes(np.array([Q.count(docs[i]) for i in order]))
     posterior = Q.fit(votes, np.array([float(i in passed) for i in order]))["posterior"]
     docs = {i: docs[i] for i, p in zip(order, posterior) if i in passed and p >= Q.POSTERIOR_LEAST}
-    docs = {i: docs[i] for i, (_, c) in classes(docs).items() if i == c}
+    docs = {i: docs[i] for i, c in classes(docs).items() if i == c}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = {r[0]: docs[r[0]] for r in hits(docs.items(), items) if not r[5]}
     docs = {i: secret_scan.mask(t) for i, t in docs.items()}
