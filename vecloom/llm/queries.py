@@ -5,10 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vecloom.llm import chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam, tier_packing, warc_revisit, zstd_language
-from vecloom.llm.common import table
+from vecloom.llm import best_fit_packing, chat_format, quality_rules, secret_scan, simhash_dedup, stratified_shards, suffix_decontam, tier_packing, warc_revisit, zstd_language
+from vecloom.llm.common import materialize, table
 
-TOKENIZER = "word_bpe_49k.json"
+TOKENIZER, RANKS = "word_bpe_49k.json", "byte_bpe_50k.tiktoken"
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,12 @@ def op3_suffix_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the blocks and reads their pieces back."""
+    packed = best_fit_packing.blocks(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS))
+    return best_fit_packing.read_pieces(materialize(packed, "packed"))
+
+
 def op5_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stratified_shards.shard(table(spark, sf_dir, "documents"))
 
@@ -59,4 +65,4 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op5_stratified_shards, op6_simhash_dedup, op7_warc_revisit, op8_zstd_language, op9_tier_packing, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_chat_format, op3_suffix_decontam, op4_best_fit_packing, op5_stratified_shards, op6_simhash_dedup, op7_warc_revisit, op8_zstd_language, op9_tier_packing, op10_quality_rules)}
