@@ -12,12 +12,27 @@ def projection_scores(base: DataFrame, planes: int, seed: int = 42) -> DataFrame
     return base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(planes - 1))).alias("plane")).select("id", "plane", F.round(dot("v", plane(seed, F.col("plane"), F.size("v"))), 9).alias("score"))
 
 
-def random_projection(base: DataFrame, planes: int = 8, window: int = 24, seed: int = 42) -> DataFrame:
-    """Nodes within `window` ranks of each other on some plane. Ranks by plane: a plane's rows are sorted in one task, so planes should be many where rows are."""
-    w = Window.partitionBy("plane").orderBy("score", "id")
-    around = F.collect_list("id").over(w.rowsBetween(-window, window))
-    near = projection_scores(base, planes, seed).select("id", around.alias("near"))
-    return near.select(F.col("id").alias("src"), F.explode("near").alias("dst")).where("src <> dst").distinct()
+def plane_ranks(scores: DataFrame, cells: int) -> DataFrame:
+    """id, plane, r: ranks by (score, id) within each plane, from 0. A plane is cut at about `cells` quantiles, so no task sorts more than a part of it."""
+    at = [i / cells for i in range(1, cells)]
+    bounds = scores.groupBy("plane").agg((F.percentile_approx("score", at, 1000) if at else F.array().cast("array<double>")).alias("bounds"))
+    cut = scores.join(F.broadcast(bounds), "plane").select("id", "plane", "score", F.size(F.filter("bounds", lambda b: b < F.col("score"))).alias("cell"))
+    sizes = cut.groupBy("plane", "cell").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("plane").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    within = F.row_number().over(Window.partitionBy("plane", "cell").orderBy("score", "id")) - 1
+    first = sizes.select("plane", "cell", before.alias("before"))  # planes x cells rows
+    return cut.withColumn("within", within).join(F.broadcast(first), ["plane", "cell"]).select("id", "plane", (F.col("before") + F.col("within")).alias("r"))
+
+
+def random_projection(base: DataFrame, planes: int = 8, window: int = 24, seed: int = 42, cells: int = 64) -> DataFrame:
+    """Nodes within `window` ranks of each other on some plane: a band join, as an equality join on buckets of ranks."""
+    ranks = plane_ranks(projection_scores(base, planes, seed), cells)
+    width = window + 1
+    a = ranks.select(F.col("id").alias("src"), "plane", F.col("r").alias("ra"), F.expr(f"r div {width}").alias("bucket"))
+    around = F.array(*(F.expr(f"r div {width} + {k}") for k in (-1, 0, 1)))
+    b = ranks.select(F.col("id").alias("dst"), "plane", F.col("r").alias("rb"), F.explode(around).alias("bucket"))
+    near = a.join(b, ["plane", "bucket"]).where((F.abs(F.col("ra") - F.col("rb")) <= window) & (F.col("src") != F.col("dst")))
+    return near.select("src", "dst").distinct()
 
 
 def signatures(base: DataFrame, tables: int = 8, bits: int = 14, seed: int = 42) -> DataFrame:
