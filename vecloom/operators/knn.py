@@ -28,7 +28,9 @@ def one(base: DataFrame, query: list[float], k: int) -> DataFrame:
 
 
 def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool:
-    """Whether df is small enough to broadcast, by counting no further than the limit."""
+    """Whether df is small enough to broadcast: by the optimizer's upper estimate if that leaves room for decoding, else by counting no further than the limit."""
+    if 8 * int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit:
+        return True
     most = max(1, limit // row_bytes)
     return df.limit(most + 1).count() <= most
 
