@@ -135,6 +135,15 @@ def test_snapshots(spark, seed):
     assert {(r["node_id"], r["deleted"]) for r in oplog.compact(parts).collect()} == {(7, True), (8, False)}
 
 
+def test_replay_stops_at_the_first_damage(spark):
+    log = oplog.with_checksum(spark.createDataFrame(log_rows(), oplog.SCHEMA))
+    assert oplog.valid_prefix(log).count() == 4
+    bad = log.withColumn("checksum", F.when(F.col("seq") == 3, 0).otherwise(F.col("checksum")))
+    assert sorted(r["seq"] for r in oplog.valid_prefix(bad).collect()) == [1, 2]
+    assert oplog.valid_prefix(log.withColumn("checksum", F.lit(None).cast("long"))).count() == 0
+    assert tuple(oplog.replay_stats(log).head()) == (3, 1, 8, 5)
+
+
 def test_recall(spark):
     lists = "qid int, id int, rk int"
     found = spark.createDataFrame([(0, 1, 1), (0, 2, 2), (0, 3, 3)], lists)

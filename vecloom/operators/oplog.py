@@ -111,3 +111,22 @@ def point_in_time(reads: DataFrame, log: DataFrame) -> DataFrame:
     both = log.select("node_id", "seq", F.lit(None).cast("long").alias("read_seq"), F.col("seq").alias("version")).unionByName(reads.select("node_id", F.col("read_seq").alias("seq"), "read_seq", F.lit(None).cast("long").alias("version")))
     w = Window.partitionBy("node_id").orderBy("seq", F.col("read_seq").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn("version", F.last("version", ignorenulls=True).over(w)).where("read_seq is not null").select("node_id", "read_seq", "version")
+
+
+def _sum(log: DataFrame):
+    return F.xxhash64(*(F.col(c) for c in ("seq", "node_id", "dim", "v", "nbrs", "deleted")))
+
+
+def with_checksum(log: DataFrame) -> DataFrame:
+    return log.withColumn("checksum", _sum(log))
+
+
+def valid_prefix(log: DataFrame) -> DataFrame:
+    """Replays a log up to its first damaged record: rows before the least sequence whose checksum doesn't hold."""
+    broken = log.where(~F.col("checksum").eqNullSafe(_sum(log))).agg(F.min("seq").alias("broken"))
+    return log.crossJoin(F.broadcast(broken)).where(F.col("broken").isNull() | (F.col("seq") < F.col("broken"))).drop("checksum", "broken")
+
+
+def replay_stats(log: DataFrame) -> DataFrame:
+    """What a replay would see: inserts, deletes, the highest node and the next sequence."""
+    return log.agg(F.count_if(~F.col("deleted")).alias("inserts"), F.count_if("deleted").alias("deletes"), F.max("node_id").alias("max_node"), (F.coalesce(F.max("seq"), F.lit(0)) + 1).alias("next_sequence"))

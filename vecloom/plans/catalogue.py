@@ -433,6 +433,10 @@ def point_in_time(spark: SparkSession, d: str) -> DataFrame:
     return oplog.point_in_time(reads, t.log(spark, d))
 
 
+def replay_stats(spark: SparkSession, d: str) -> DataFrame:
+    return oplog.replay_stats(t.log(spark, d))
+
+
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The log through a file stream and an append sink, then the newest versions: equal to latest_versions."""
     from vecloom.streaming import ingest
@@ -506,6 +510,32 @@ def skip_reason(spark: SparkSession, d: str) -> DataFrame:
     return f.select("query_id", "step_id", "page_id", prefetch.skip_reason(x % 5 == 0, x % 7 == 0, x % 3 == 0, x % 2 == 0).alias("skip_reason"))
 
 
+def submit_reason(spark: SparkSession, d: str) -> DataFrame:
+    f = prefetch.page_features(t.ranked_pages(spark, d))
+    x = F.col("page_id") * 5 + F.col("step_id") * 3 + F.col("query_id")
+    why = prefetch.submit_reason(x % 11 != 0, x % 7 == 0, x % 5 == 0, x % 13 == 0, x % 3 == 0, x % 4 == 0, x % 2 == 0)
+    return f.select("query_id", "step_id", "page_id", why.alias("reason"))
+
+
+def page_batch(spark: SparkSession, d: str) -> DataFrame:
+    wanted = t.ranked_pages(spark, d)
+    return prefetch.page_batch(wanted, wanted.where("page_id % 3 = 0"), wanted.where("page_id % 2 = 0"))
+
+
+def trace_split(spark: SparkSession, d: str) -> DataFrame:
+    """How many queries go to each part: 60, 20 and 20 percent."""
+    return tr.split(t.trace(spark, d), 0, 0, 0).groupBy("part").agg(F.count_distinct("query_id").alias("queries"))
+
+
+def tolerant_parsing(spark: SparkSession, d: str) -> DataFrame:
+    """Numbers out of strings that may hold none."""
+    from vecloom.functions import stats
+
+    e = t.read(spark, d, "events")
+    text = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(" "), F.col("event_id").cast("string"), F.lit(" "))).when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.lit(""))
+    return e.select("event_id", stats.as_long(text).alias("as_long"), stats.as_bool(F.when(F.col("event_id") % 2 == 0, "Yes").otherwise("off")).alias("as_bool"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
     f = prefetch.page_features(t.ranked_pages(spark, d))
     return f.withColumn("score", Ensemble.parse(TREES).score(f.columns)).withColumn("skip_reason", F.when(F.col("page_id") % 5 == 0, "cached").otherwise(""))

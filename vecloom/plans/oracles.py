@@ -277,4 +277,10 @@ ORACLES = {
     "oracle_gap": ctes(B, Q, TOP40, PAGES, FEATURES, TRACE, LABELLED, "runs AS (" + " UNION ALL ".join(f"SELECT '{n}' AS policy, precision, recall FROM ({replayed(s)})" for n, s in GAP.items()) + ")")
     + "SELECT policy, precision, recall, round((SELECT recall FROM runs WHERE policy = 'oracle') - recall, 6) AS gap FROM runs",
     "page_hot_score": ctes(B, graph(8)) + "SELECT id // 8 AS page_id, coalesce(sum(n), 0)::BIGINT AS hot_score, count_if(coalesce(n, 0) >= 10) AS hub_count FROM b LEFT JOIN (SELECT dst, count(*) AS n FROM e GROUP BY dst) ON dst = id GROUP BY id // 8",
+    "replay_stats": ctes(LOG) + "SELECT count_if(NOT deleted) AS inserts, count_if(deleted) AS deletes, max(node_id) AS max_node, max(seq) + 1 AS next_sequence FROM log",
+    "submit_reason": ctes(B, Q, TOP40, PAGES, FEATURES) + "SELECT query_id, step_id, page_id, CASE WHEN x % 11 = 0 THEN 'invalid_page' WHEN x % 7 = 0 THEN 'demand_priority' WHEN x % 5 = 0 THEN 'duplicate' WHEN x % 13 = 0 THEN 'budget_full' WHEN x % 3 = 0 THEN 'cached' WHEN x % 4 = 0 THEN 'pending' WHEN x % 2 = 0 THEN 'materialized' ELSE '' END AS reason "
+    "FROM (SELECT *, page_id * 5 + step_id * 3 + query_id AS x FROM features)",
+    "page_batch": ctes(B, Q, TOP40, PAGES) + "SELECT DISTINCT page_id, CASE WHEN page_id % 3 = 0 THEN 'cached' WHEN page_id % 2 = 0 THEN 'pending' ELSE 'missing' END AS state FROM ranked",
+    "trace_split": "WITH n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0) SELECT unnest(['train', 'valid', 'test']) AS part, unnest([n * 6 // 10, n * 2 // 10, n - n * 6 // 10 - n * 2 // 10]) AS queries FROM n",
+    "tolerant_parsing": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS as_long, event_id % 2 = 0 AS as_bool FROM events",
 }
