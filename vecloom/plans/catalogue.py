@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from vecloom.functions import vectors as V
@@ -11,6 +9,7 @@ from vecloom.operators import entries, ivf, kmeans, knn, metrics, oplog, pq, pre
 from vecloom.operators.graph import candidates as cand, index
 from vecloom.operators.trees import Ensemble
 from vecloom.plans import tables as t
+from vecloom.sources.scratch import fresh
 
 K = 10
 BOOK = {"subspaces": 4, "centroids": 8}
@@ -441,10 +440,7 @@ def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The log through a file stream and an append sink, then the newest versions: equal to latest_versions."""
     from vecloom.streaming import ingest
 
-    root = (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="vecloom-")).rstrip("/")
-    import uuid
-
-    root = f"{root}/stream-{uuid.uuid4().hex}"
+    root = fresh(spark, "stream")
     t.log(spark, d).repartition(6, "node_id").write.parquet(f"{root}/in")
     ingest.append(ingest.ops(spark, f"{root}/in", oplog.SCHEMA), f"{root}/log", f"{root}/checkpoint").awaitTermination()
     return _heads(ingest.latest(spark, f"{root}/log"))
