@@ -66,7 +66,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 32 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cuts an Arrow batch so that each part holds about max_bytes of the column, one row at least."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     begin = total = 0

@@ -3,7 +3,7 @@
 Words are lowered (A-Z) runs of digits, a-z and characters beyond ASCII. A window is ten consecutive words of a benchmark
 item; an item of fewer words, but not none, is one window. Every document word inside an occurrence of a window is hit.
 
-Documents are read in shards of some 32 MB. Of a shard, only runs of words known to the benchmark that are long enough
+Documents are read in shards of some 8 MB. Of a shard, only runs of words known to the benchmark that are long enough
 for its shortest window are kept; their suffixes are sorted by prefix doubling to the depth of the longest window. Each
 benchmark suffix is then found by binary search, all at once: the range of document suffixes that begin with its window
 gives the occurrences and where they are. From each of these places the longest verbatim match is found by binary search
