@@ -3,30 +3,20 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-_written: list[tuple[SparkSession, str]] = []
-
+from vecloom.sources.scratch import fresh
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vecloom-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+_written: list[tuple[SparkSession, str]] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder. It is removed when the driver ends, or by release()."""
-    path = f"{shared_dir(spark)}/vecloom-{tag}-{uuid.uuid4().hex}"
+    path = fresh(spark, tag)
     _written.append((spark, path))
     return path
 

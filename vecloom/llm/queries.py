@@ -20,7 +20,7 @@ def op7_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_zstd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out.alias("held_out"))
     dictionaries = zstd_language.learn(docs.where(~F.col("held_out") & F.col("lang").isNotNull()))
     return zstd_language.classify(docs, dictionaries, ["doc_id", "held_out"])
