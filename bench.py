@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 
 from vecloom.plans import catalogue
 
-HEADLINE = ("knn_batch", "knn_blocks", "knn_label_filtered", "adc_rerank", "ivf_probe_topk", "global_medoid", "lsh_candidates", "latest_versions", "base_delta_merge", "exact_dynamic_topk", "compaction", "page_features", "rank_and_throttle", "trace_summary", "latency_percentiles")
+HEADLINE = ("knn_batch", "knn_join", "knn_label_filtered", "adc_rerank", "ivf_probe_topk", "global_medoid", "lsh_candidates", "latest_versions", "base_delta_merge", "exact_dynamic_topk", "compaction", "page_features", "rank_and_throttle", "trace_summary", "latency_percentiles")
 
 
 def main() -> None:

@@ -35,9 +35,11 @@ def bounded(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> bool
     return df.limit(most + 1).count() <= most
 
 
-def exact(base: DataFrame, queries: DataFrame, k: int, dim: int = 64) -> DataFrame:
-    """Top k of base (id, v) for each query (qid, qv), as a broadcast theta join; for query sets beyond the broadcast bound, in blocks."""
-    if not bounded(queries, 8 * dim + 64):
+def exact(base: DataFrame, queries: DataFrame, k: int, dim: int = 64, method: str = "blocks") -> DataFrame:
+    """Top k of base (id, v) for each query (qid, qv): by matrix products (blocks), or as a broadcast theta join without Python (join) while the queries fit the broadcast bound."""
+    if method not in ("blocks", "join"):
+        raise ValueError(f"unknown method: {method}")
+    if method == "blocks" or not bounded(queries, 8 * dim + 64):
         return exact_blocks(base, queries, k, dim)
     pairs = base.crossJoin(F.broadcast(queries)) if k else base.crossJoin(queries.limit(0))
     return rank(pairs.select("qid", "id", squared_l2("v", "qv").alias("dist")), k)

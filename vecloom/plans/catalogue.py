@@ -47,8 +47,8 @@ def knn_batch(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(t.top(spark, d, K))
 
 
-def knn_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(knn.exact_blocks(t.vectors(spark, d), t.queries(spark, d), K))
+def knn_join(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(knn.exact(t.vectors(spark, d), t.queries(spark, d), K, method="join"))
 
 
 def knn_label_filtered(spark: SparkSession, d: str) -> DataFrame:

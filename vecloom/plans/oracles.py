@@ -152,7 +152,7 @@ ORACLES = {
     # exact search
     "knn_one": ctes(B) + f"SELECT id, round(dist, 6) AS dist FROM (SELECT b.id, {l2('b.v', '(SELECT v FROM b WHERE id = 0)')} AS dist FROM b ORDER BY dist, id LIMIT 10)",
     "knn_batch": ctes(B, Q, TOP) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM top",
-    "knn_blocks": ctes(B, Q, TOP) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM top",
+    "knn_join": ctes(B, Q, TOP) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM top",
     "knn_label_filtered": ctes(B, Q) + rounded(ranked(PAIRS + " WHERE label = ql", 10)),
     "knn_merge_two_lists": ctes(B, Q, f"x AS ({ranked(PAIRS + ' WHERE id % 2 = 0', 10)})", f"y AS ({ranked(PAIRS + ' WHERE id % 3 = 0', 10)})")
     + rounded(ranked("SELECT qid, id, min(dist) AS dist FROM (SELECT qid, id, dist FROM x UNION ALL SELECT qid, id, dist + 0.25 FROM y) GROUP BY qid, id", 10)),
