@@ -1,3 +1,4 @@
+import random
 import zlib
 
 from llm_cases import edge_documents
@@ -29,6 +30,16 @@ def test_it_learns_only_from_its_rows(spark):
     assert {r["lang_pred"] for r in Z.classify(docs, {}, ["doc_id"]).collect()} == {"und"}
 
 
+def test_long_texts_count_to_their_end():
+    """A head in another language doesn't decide for a long text."""
+    rng = random.Random(3)
+    words = {k: ["".join(rng.choices(letters, k=rng.randint(3, 8))) for _ in range(4000)] for k, letters in (("a", "abcdefghijklm"), ("b", "nopqrstuvwxyz"))}
+    text = lambda k, size: " ".join(rng.choices(words[k], k=size // 6))
+    c = Z.Classifier({k: text(k, Z.DICT_BYTES).encode()[-Z.DICT_BYTES :] for k in "ab"})
+    assert c.predict(text("a", 200_000) + " " + text("b", 3_000_000))[0] == "b"
+    assert c.predict(text("b", 100_000) + " " + text("a", 3_000_000))[0] == "a"
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     d = Z.learn(docs)

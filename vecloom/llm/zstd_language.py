@@ -6,7 +6,8 @@ classifier's only limits and don't grow with the corpus: MAX_LANGUAGES x DICT_BY
 
 Case, digits and signs are left out first: texts and samples are their lowered letters, words parted by one space.
 
-Prediction: a text is compressed whole with each language's dictionary, and the language of the smallest result is chosen.
+Prediction: all of a text is compressed with each language's dictionary, in pieces of PIECE_BYTES, as zstandard drops a
+dictionary once the input has run past the window. The language of the smallest sum of sizes is chosen.
 The result is rejected (`rejected`, the choice stays visible) where the runner-up is nearly as small: by less than
 MARGIN_BYTES or MARGIN_SHARE of it. `score` is the softmax of the negative sizes in units of SCALE_BYTES.
 
@@ -30,6 +31,8 @@ from vecloom.llm.common import at, texts
 SAMPLE_DOCS, DICT_BYTES, MAX_LANGUAGES = 256, 256 << 10, 64
 TEXT_LEAST, TEXT_MOST = 100, 8000
 MARGIN_BYTES, MARGIN_SHARE, SCALE_BYTES = 3, 0.005, 4.0
+#: Well under the window.
+PIECE_BYTES = 64 << 10
 UNDETERMINED = "und"
 #: Short matches tell languages apart, so they count from four bytes on.
 PARAMETERS = {"window_log": 18, "chain_log": 17, "hash_log": 17, "search_log": 5, "min_match": 4, "strategy": zstandard.STRATEGY_GREEDY, "write_content_size": 0}
@@ -86,7 +89,8 @@ class Classifier:
         if not text or not self.by or not LETTER.search(text):
             return UNDETERMINED, 0.0, True
         raw = letters(text)
-        sizes = [len(c.compress(raw)) for c in self.by]
+        pieces = [raw[a : a + PIECE_BYTES] for a in range(0, len(raw), PIECE_BYTES)]
+        sizes = [sum(len(c.compress(x)) for x in pieces) for c in self.by]
         least = min(sizes)
         best = sizes.index(least)
         margin = min((s - least for i, s in enumerate(sizes) if i != best), default=len(raw))
