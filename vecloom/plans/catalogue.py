@@ -305,7 +305,7 @@ def _graph(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _found(name: str, found: DataFrame, truth: DataFrame) -> DataFrame:
-    return metrics.mean_recall(found, truth, K).select(F.lit(name).alias("method"), "queries", (F.col("recall") >= 0.85).alias("recall_ok"))
+    return metrics.mean_recall(found, truth, K).select(F.lit(name).alias("method"), "queries", (F.col("recall") >= 0.9).alias("recall_ok"))
 
 
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
