@@ -6,7 +6,7 @@
 3. EM (two classes, votes independent given the class, a full vote table for each rule and class, PRIOR_VOTES as
    pseudo-documents) starts from the share of good votes. It counts documents that pass the base rules: the others are
    decided, and their many agreeing votes on repetition would otherwise become the class that EM finds. The posterior
-   of each pattern goes back to all documents.
+   of each pattern goes back to all documents. keep_good() counts twice rather than write the corpus once more.
 
 Defined cases: a null or empty text has no words, fails the base rules and gets a posterior like any other; repeated
 rows count as often as they occur; an empty table gives an empty result; other columns are kept by apply_rules().
@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from vecloom.llm.common import at, materialize, texts
+from vecloom.llm.common import appended, at, materialize, named, numbered, texts
 
 #: Fixed value: the characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -128,36 +128,66 @@ def fit(patterns: np.ndarray, weights: np.ndarray, prior_docs: float = PRIOR_DOC
     return {"prior": prior, "table": table, "posterior": posterior}
 
 
+POWERS = 3 ** np.arange(len(RULES), dtype=np.int64)
+
+
+def _counted(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text the FEATURES, the votes as one number, and whether the base rules fail."""
+    n = np.array([count(x) for x in values], np.int64).reshape(-1, len(FEATURES))
+    words_, repeats = n[:, 0], n[:, FEATURES.index("n_repeat_words")]
+    return n, (votes(n) + 1).astype(np.int64) @ POWERS, (words_ < WORDS_LEAST) | (100 * repeats > REPEAT_MOST * words_)
+
+
 def features(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """carry (all columns by default) as a struct `row`, the counts as an array `n`, and the votes as one number `pattern`."""
+    """carry (all columns by default) as a struct `row`, the counts as an array `n`, the votes as one number `pattern`, and base_failed."""
     keep = docs.columns if carry is None else carry
     row = F.struct(*(at(c) for c in keep)).alias("row") if keep else F.struct(F.lit(None).cast("int").alias("none")).alias("row")
     slim = docs.select(row, at(text_col).cast("string").alias("t"))
-    schema = T.StructType([slim.schema["row"], T.StructField("n", T.ArrayType(T.LongType())), T.StructField("pattern", T.LongType())])
-    power = 3 ** np.arange(len(RULES), dtype=np.int64)
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, values in texts(batches, "t"):
-            n = np.array([count(x) for x in values], np.int64).reshape(-1, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(list(n), pa.list_(pa.int64())), pa.array((votes(n) + 1).astype(np.int64) @ power)], ["row", "n", "pattern"])
+            n, pattern, failed = _counted(values)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(list(n), pa.list_(pa.int64())), pa.array(pattern), pa.array(failed)], ["row", "n", "pattern", "base_failed"])
+
+    return slim.mapInArrow(kernel, appended(T.StructType([slim.schema["row"]]), "n array<long>, pattern long, base_failed boolean"))
+
 
-    return slim.mapInArrow(kernel, schema)
+def learn(patterns: DataFrame) -> dict[int, float]:
+    """patterns: pattern and n, how many documents that pass the base rules have it; a row for each pattern or more. The posterior of each."""
+    by = patterns.groupBy("pattern").agg(F.sum("n")).orderBy("pattern").collect()  # 3**R rows at most
+    codes, weights = np.array([r[0] for r in by], np.int64), np.array([r[1] for r in by], float)
+    ballots = (codes[:, None] // POWERS % 3 - 1).astype(np.int8).reshape(-1, len(RULES))
+    return dict(zip(codes.tolist(), fit(ballots, weights)["posterior"].tolist(), strict=True))
 
 
 def apply_rules(docs: DataFrame, text_col: str = "text", carry: list[str] | None = None, posterior_least: float = POSTERIOR_LEAST) -> DataFrame:
-    """row (struct of the carried columns), the base counts, base_failed, posterior and kept."""
+    """row (struct of the carried columns, which are written once), the base counts, base_failed, posterior and kept."""
     spark = docs.sparkSession
     found = materialize(features(docs, text_col, carry), "quality")
-    n = {name: F.col("n")[i] for i, name in enumerate(FEATURES)}
-    failed = (n["n_words"] < WORDS_LEAST) | (100 * n["n_repeat_words"] > REPEAT_MOST * n["n_words"])
-    by = found.groupBy("pattern").agg(F.count_if(~failed)).collect()  # 3**R rows at most
-    codes, weights = np.array([r[0] for r in by], np.int64), np.array([r[1] for r in by], float)
-    patterns = (codes[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1).astype(np.int8).reshape(-1, len(RULES))
-    model = fit(patterns, weights)
-    learned = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, model["posterior"], strict=True)], "pattern long, posterior double")
-    return found.join(F.broadcast(learned), "pattern", "left").select("row", *(n[c].alias(c) for c in FEATURES[:5]), failed.alias("base_failed"), "posterior", (~failed & (F.col("posterior") >= posterior_least)).alias("kept"))
+    model = learn(found.select("pattern", F.when(F.col("base_failed"), 0).otherwise(1).alias("n")))
+    learned = spark.createDataFrame(list(model.items()), "pattern long, posterior double")
+    n = [F.col("n")[i].alias(name) for i, name in enumerate(FEATURES[:5])]
+    return found.join(F.broadcast(learned), "pattern", "left").select("row", *n, "base_failed", "posterior", (~F.col("base_failed") & (F.col("posterior") >= posterior_least)).alias("kept"))
 
 
-def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", posterior_least: float = POSTERIOR_LEAST) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    return apply_rules(docs, text_col).where("kept").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    slim, t = numbered(docs, text_col)
+
+    def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: Counter[int] = Counter()
+        for _, values in texts(batches, t):
+            _, pattern, failed = _counted(values)
+            total.update(dict.fromkeys(pattern.tolist(), 0))
+            total.update(pattern[~failed].tolist())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["pattern", "n"])
+
+    model = learn(slim.select(t).mapInArrow(counting, "pattern long, n long"))
+
+    def keeping(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, values in texts(batches, t):
+            _, pattern, failed = _counted(values)
+            posterior = np.array([model[p] for p in pattern.tolist()], float)
+            yield part.filter(pa.array(~failed & (posterior >= posterior_least)))
+
+    return named(slim.mapInArrow(keeping, slim.schema), docs.columns)
