@@ -7,29 +7,34 @@ Documents are read in shards of some 8 MB. Of a shard, only runs of words known
 for its shortest window are kept; their suffixes are sorted by prefix doubling to the depth of the longest window. Each
 benchmark suffix is then found by binary search, all at once: the range of document suffixes that begin with its window
 gives the occurrences and where they are. From each of these places the longest verbatim match is found by binary search
-the other way, in the suffix array of the benchmark.
-
-The benchmark is read in blocks of at most BLOCK_BYTES of text, one item at least; only a block's index is broadcast. A
-benchmark of several blocks takes a pass over the documents for each, with the findings so far written in between, so
-no broadcast grows with its size. Everything else is one pass without a shuffle.
-
-Defined cases: null texts have no words and are never hit; an item without an id has the empty id; repeated rows get a
-result each; an empty table gives an empty result, an empty benchmark hits nothing; remove() keeps other columns.
+the other way, in the suffix array of the benchmark, doubling and halving steps: stretches of 1, 2, 4, ... words are ranked
+among the benchmark's stretches of that length, and a step is taken if its rank occurs in the range of suffixes found so far.
+So time and memory are in proportion to words (times the logarithm of the longest item), however long an item is.
+
+The benchmark is read in blocks of at most BLOCK_BYTES of text, one item at least; only indexes of PASS_BLOCKS blocks are
+broadcast at a time. A larger benchmark takes further passes over the documents, with the findings so far written in
+between, so no broadcast grows with its size. Everything else is one pass without a shuffle.
+
+Defined cases: null texts have no words and are never hit; very long texts and items are taken whole; an item without an id
+has the empty id, and items of one id count once; repeated rows get a result each; of equally long matches the first in the
+document is told; an empty table gives an empty result, an empty benchmark hits nothing; other columns may have any names,
+report() ignores them and remove() keeps them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from vecloom.llm.common import at, materialize, texts
+from vecloom.llm.common import at, materialize, named, numbered, texts
 
 WINDOW = 10
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES, PASS_BLOCKS = 2 << 20, 4
 
 _LOWER = bytes(c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
@@ -38,14 +43,24 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
 
 
-def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of non-zero tokens of x, ordered by their next `depth` tokens at least. Zeros separate runs."""
+def ranks(x: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """By prefix doubling: for 2, 4, ... up to at least `depth` tokens, the distinct codes of stretches, in order, and each place's rank among them.
+
+    The code of a stretch is its halves' ranks, the first one times the number of ranks and more.
+    """
     rank, h = x.astype(np.int64), 1
     while h < depth:
         after = np.zeros_like(rank)
         after[:-h] = rank[h:]
         distinct, rank = np.unique(rank * (rank.max() + 1) + after, return_inverse=True)
         h *= 2
+        yield distinct, rank
+
+
+def suffix_array(x: np.ndarray, depth: int) -> np.ndarray:
+    """Positions of non-zero tokens of x, ordered by their next `depth` tokens at least. Zeros separate runs."""
+    rank = x
+    for distinct, rank in ranks(x, depth):
         if len(distinct) == len(x):
             break
     order = np.argsort(rank, kind="stable")
@@ -90,25 +105,46 @@ class Index:
         self.depth = max((len(w) for _, w in self.items), default=0)
         self.tokens, self.owner, self.place = (np.array(v, np.int32) for v in (tokens, owner, place))
         self.sa = suffix_array(self.tokens, self.depth) if self.depth else np.zeros(0, np.int64)
-        self.windows = [(n, np.array(list(by), np.int64), [sorted(v) for v in by.values()]) for n, by in sorted(found.items())]
+        # Of stretches of 2, 4, ... words that items are long enough for: their codes, and the ranks that tokens have by them.
+        self.levels = [(distinct, rank.astype(np.int32)) for i, (distinct, rank) in enumerate(ranks(self.tokens, self.depth)) if 2 << i <= self.depth]
+        self.windows = [(n, np.array(list(by), np.int32), [sorted(v) for v in by.values()]) for n, by in sorted(found.items())]
         self.items = []
 
     def longest(self, x: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For places in x, the length of the longest match with any item, and its place in the benchmark's tokens."""
-        x = np.concatenate([x, np.zeros(self.depth, x.dtype)])
-        tokens = np.concatenate([self.tokens, np.zeros(self.depth, np.int32)])
-        best, where = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-        for a in range(0, len(starts), 1 << 14):
-            q = x[starts[a : a + (1 << 14), None] + np.arange(self.depth)].astype(np.int64)
-            lo = search(self.tokens, self.sa, q)
-            for near in (lo - 1, lo):
-                s = self.sa[np.clip(near, 0, len(self.sa) - 1)]
-                same = (tokens[s[:, None] + np.arange(self.depth)] == q) & (q > 0)
-                n = np.where(same.all(1), self.depth, (~same).argmax(1))
-                more = n > best[a : a + len(q)]
-                best[a : a + len(q)] = np.where(more, n, best[a : a + len(q)])
-                where[a : a + len(q)] = np.where(more, s, where[a : a + len(q)])
-        return best, where
+        # The ranks that x's stretches have in the benchmark; -1 where they don't occur there.
+        own = [np.where(x > 0, x, -1).astype(np.int64)]
+        theirs = [self.tokens]
+        for i, (distinct, rank) in enumerate(self.levels):
+            half, after = own[-1], np.full(len(x), -1, np.int64)
+            after[: -(1 << i)] = half[1 << i :]
+            code = half * (int(theirs[-1].max()) + 1) + after
+            where = np.minimum(np.searchsorted(distinct, code), len(distinct) - 1)
+            own.append(np.where((half >= 0) & (after >= 0) & (distinct[where] == code), where, -1))
+            theirs.append(rank)
+        n = np.zeros(len(starts), np.int64)
+        lo, hi = np.zeros(len(starts), np.int64), np.full(len(starts), len(self.sa), np.int64)
+        for i in [*range(len(own)), *range(len(own) - 1, -1, -1)]:
+            # Suffixes from lo to hi share n tokens with x, so those behind are in order.
+            place = np.minimum(starts + n, len(x) - 1)
+            q = np.where(starts + n < len(x), own[i][place], -1)
+            begin, end = self._range(theirs[i], n, q, lo, hi)
+            more = (q >= 0) & (begin < end)
+            lo, hi, n = np.where(more, begin, lo), np.where(more, end, hi), n + np.where(more, 1 << i, 0)
+        return n, self.sa[np.minimum(lo, len(self.sa) - 1)]
+
+    def _range(self, rank: np.ndarray, n: np.ndarray, q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The suffixes between lo and hi whose rank behind n tokens is q."""
+        out = []
+        for side in (0, 1):
+            a, z = lo.copy(), hi.copy()
+            while (live := a < z).any():
+                mid = np.where(live, (a + z) // 2, 0)
+                there = rank[np.minimum(self.sa[mid] + n, len(rank) - 1)]
+                less = (there < q) | ((there == q) & bool(side))
+                a, z = np.where(live & less, mid + 1, a), np.where(live & ~less, mid, z)
+            out.append(a)
+        return out[0], out[1]
 
     def scan(self, docs: list[list[bytes]]) -> list[dict | None]:
         """For each document None, or its hit intervals of words, its items, and its longest match."""
@@ -197,33 +233,36 @@ def _joined(old: dict | None, new: dict | None) -> dict | None:
     return {"hits": hits, "items": sorted({*old["items"], *new["items"]}), "longest": max(old["longest"], new["longest"], key=lambda x: x[0])}
 
 
-def find(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The carried columns as a struct `row`, and `found`: n_words, hits (intervals of words), items, longest match and where."""
+def find(docs: DataFrame, items: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+    """The carried columns, numbered, and `found`: n_words, hits (intervals of words), items, longest match and where."""
     spark = docs.sparkSession
-    state = docs.select(F.struct(*(at(c) for c in carry)).alias("row"), at(text_col).cast("string").alias("t"), F.lit(None).cast(FOUND).alias("found"))
-    schema = state.schema
+    state, text = numbered(docs, text_col, carry)
+    state = state.withColumn("found", F.lit(None).cast(FOUND))
 
-    def one(state: DataFrame, index: Index) -> DataFrame:
-        sent = spark.sparkContext.broadcast(index)
+    def one(state: DataFrame, indexes: list[Index], last: bool) -> DataFrame:
+        sent = [spark.sparkContext.broadcast(x) for x in indexes]
+        schema = T.StructType([f for f in state.schema if not (last and f.name == "t")])
 
         def kernel(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part, values in texts(batches, "t"):
+            for part, values in texts(batches, text):
                 split = [words(x) for x in values]
+                found: list[dict | None] = [old and {"hits": [(h["a"], h["b"]) for h in old["hits"]], "items": old["items"], "longest": tuple(old["longest"].values())} for old in part.column("found").to_pylist()]
+                for index in sent:
+                    found = [_joined(old if old and old["hits"] else None, new) for old, new in zip(found, index.value.scan(split), strict=True)]
                 out = []
-                for before, w, new in zip(part.column("found").to_pylist(), split, sent.value.scan(split), strict=True):
-                    old = before and {"hits": [(h["a"], h["b"]) for h in before["hits"]], "items": before["items"], "longest": tuple(before["longest"].values())}
-                    f = _joined(old if old and old["hits"] else None, new) or {"hits": [], "items": [], "longest": (0, 0, "", 0)}
+                for w, f in zip(split, found):
+                    f = f or {"hits": [], "items": [], "longest": (0, 0, "", 0)}
                     out.append({"n_words": len(w), "hits": [{"a": a, "b": b} for a, b in f["hits"]], "items": f["items"], "longest": dict(zip(("words", "word", "item", "item_word"), f["longest"]))})
-                yield part.set_column(2, part.schema.field(2), pa.array(out, part.schema.field(2).type))
+                i = part.schema.get_field_index("found")
+                yield part.set_column(i, part.schema.field(i), pa.array(out, part.schema.field(i).type)).select(schema.names)
 
         return state.mapInArrow(kernel, schema)
 
-    pending = None
-    for index in blocks(items, item_col, item_text_col, window, block_bytes):
-        if pending:
-            state = materialize(one(state, pending), "decontam")
-        pending = index
-    return one(state, pending).select("row", "found")
+    ready = blocks(items, item_col, item_text_col, window, block_bytes)
+    now = list(islice(ready, pass_blocks))
+    while following := list(islice(ready, pass_blocks)):
+        state, now = materialize(one(state, now, False), "decontam"), following
+    return one(state, now, True)
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
@@ -231,7 +270,7 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) ->
     f = find(docs, items, [id_col], **how)
     n_hit = F.aggregate("found.hits", F.lit(0).cast("long"), lambda s, h: s + h["b"] - h["a"])
     return f.select(
-        F.col("row")[id_col].alias(id_col),
+        F.col("c0").alias(id_col),
         F.col("found.n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("found.items").cast("long").alias("n_items"),
@@ -246,4 +285,4 @@ def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **how) ->
 
 def remove(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """The documents without any hit, with their own columns."""
-    return find(docs, items, docs.columns, **how).where(F.size("found.hits") == 0).select(*(F.col("row")[c].alias(c) for c in docs.columns))
+    return named(find(docs, items, docs.columns, **how).where(F.size("found.hits") == 0), docs.columns)
