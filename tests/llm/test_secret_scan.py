@@ -60,6 +60,15 @@ def test_weak_parts_need_each_other():
     assert kinds("AKIAABCDEFGH pwd=abcdef1") == ["ident", "secret"]
 
 
+def test_a_part_does_not_link_to_itself():
+    kinds = lambda t: [S.KINDS[k] for _, k, _ in S.scan_text(t)[1]]
+    assert kinds("user_id=0123456789abcdef0123 nothing else") == []
+    assert kinds("login: deadbeefdeadbeef00") == kinds("client_id=deadbeefdeadbeef00") == []
+    assert kinds("see https://example.org/x?token=abc1234 there") == []
+    assert kinds("user_id=0123456789abcdef0123 and ffffffffffffffff0") == ["ident"]
+    assert kinds("https://example.org/x?token=abc1234 token=abc9876") == ["endpoint", "secret"]
+
+
 def test_links_against_all_pairs():
     text = "user=alice99 password=hunter2 " * 20 + "\n\n" + "host=db.example.org token=abc123 " * 5
     base, short = S.base_spans(text)

@@ -8,11 +8,13 @@ Scopes are the blocks between blank lines. Each part's interval is widened by `w
 sides and cut at its scope's borders; two parts are linked when one's interval overlaps the other's widened one.
   identifier <-> secret    access keys of the base count as identifiers, its assign and hex findings as secrets
   endpoint   <-> secret    only with a secret that was assigned by name
+Parts whose spans overlap are one thing seen twice (a hex value of an identifier, a token in a URL) and are not linked.
 The join counts overlaps from sorted starts and sorted ends, so a text with n parts costs n log n, however
 many of them meet; no pairs are formed.
 
-Defined cases: a null text is empty and has no finding; repeated rows each get their own result; an empty
-table gives an empty result; other columns of the input are kept by redact() and ignored by scan().
+Defined cases: a null text is empty and has no finding; very long texts are scanned whole; of findings that start at one
+place, the kind listed first comes first; repeated rows each get their own result; an empty table gives an empty result;
+other columns of the input may have any names, they are kept by redact() and ignored by scan().
 """
 
 from __future__ import annotations
@@ -100,7 +102,7 @@ def linked_spans(text: str, base: list[Span], short: list[Span], window: int = W
         low = max(s - window, cuts[i - 1] if i else 0)
         j = bisect_left(cuts, e)
         high = min(e + window, cuts[j] if j < len(cuts) else len(text))
-        n = secrets.count(low, high) if kind == 3 else assigned.count(low, high) if kind == 5 else idents.count(low, high) + ends.count(low, high)
+        n = sum(x.count(low, high) - x.count(s, e) for x in ((secrets,) if kind == 3 else (assigned,) if kind == 5 else (idents, ends)))
         if n:
             found.append((s, kind, e))
             links += n
