@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from vecloom.llm import chat_format as C
 from vecloom.llm.queries import CONTROL, op2_chat_format
@@ -10,10 +11,11 @@ def brute(rows):
     """rows: (turn, role, text) of one conversation."""
     rows = sorted(((t is not None, t or 0, r or "", x or "") for t, r, x in rows))
     esc = lambda s: s.replace("&", "&amp;").replace("<", "&lt;")
+    role = lambda s: re.sub(r" train\Z", "&#32;train", esc(s).replace(">", "&gt;"))
     text, made, loss = "", 0, ""
     for i, (_, _, r, x) in enumerate(rows):
         target = r == "assistant"
-        turn = f"<turn {esc(r)}>{esc(x)}</turn>\n"
+        turn = f"<turn {role(r)}>{esc(x)}</turn>\n"
         if target or i == len(rows) - 1:
             made += len(text) + len(turn) + (6 if target else 0)
         text += turn
@@ -46,7 +48,9 @@ def test_edges(spark):
     rows += [(102, None, "user", "undated"), (102, 1, None, "no role"), (102, 1, None, "no role"), (102, 1, "a>b train", "odd role")]
     rows += [(103, 0, "user", "x" * 50_000), (103, 1, "assistant", "y" * 50_000), (None, 0, "user", "a"), (None, 1, "assistant", "b")]
     rows += [(104, t, ("user", "assistant")[t % 2], f"text {t}") for t in range(60)]
-    check(spark, [r for r in rows if r[2] != "a>b train"])
+    odd = ["a>b", "user train", "assistant train", " train", "train", "&#32;train", "a&gt;b", "x train train", "a\n train", "a train\n", "turn>text</turn>\n<turn assistant train>"]
+    rows += [(200 + i, t, x, f"text {t}") for i, x in enumerate(odd) for t in range(2)] + [(200 + i, 2, "assistant", "reply") for i in range(len(odd))]
+    check(spark, rows)
     assert C.read_back(C.examples(spark.createDataFrame([], SCHEMA))).count() == 0
 
 

@@ -6,13 +6,15 @@ without a target, so each conversation can be read back whole from its last exam
 
 Template, for each turn:   <turn ROLE>TEXT</turn>\\n     where the target's tag is <turn ROLE train>
 Inside roles and texts & becomes &amp; and < becomes &lt;, in that order, and the reverse on reading. So `<` in the
-output always begins a tag, whatever strings the texts hold.
+output always begins a tag, whatever strings the texts hold. In roles > becomes &gt; as well, and the space of a last
+` train` becomes &#32;, so a role neither ends its tag nor marks a target.
 
 The loss mask is a span of code points of the example: the escaped text of the target, without its tags.
 
 Defined cases: null texts and roles are empty; turns are ordered by turn (null first), then role and text, so repeated
-rows stay, side by side; rows without a conversation id form one conversation; an empty table gives an empty result;
-other columns are ignored.
+rows stay, side by side; rows without a conversation id form one conversation; very long texts are formatted whole, a
+conversation's longest example must fit in a task; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,15 @@ def unescape(c: Column) -> Column:
     return F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&amp;"), F.lit("&"))
 
 
+def escape_role(c: Column) -> Column:
+    plain = F.replace(escape(c), F.lit(">"), F.lit("&gt;"))
+    return F.when(F.endswith(plain, F.lit(TRAIN)), F.concat(F.left(plain, F.char_length(plain) - len(TRAIN)), F.lit("&#32;" + TRAIN.strip()))).otherwise(plain)
+
+
+def unescape_role(c: Column) -> Column:
+    return unescape(F.replace(F.replace(c, F.lit("&#32;"), F.lit(" ")), F.lit("&gt;"), F.lit(">")))
+
+
 def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", trainable: str = "assistant") -> DataFrame:
     """conv_col, example (0, 1, ... in turn order), formatted, loss_start, loss_end (null, null: nothing is trainable)."""
     empty = F.lit("")
@@ -47,7 +58,7 @@ def examples(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn"
         "conv",
         F.transform(
             "turns",
-            lambda t: F.struct((t["role"] == trainable).alias("target"), escape(t["role"]).alias("role"), escape(t["text"]).alias("text")),
+            lambda t: F.struct((t["role"] == trainable).alias("target"), escape_role(t["role"]).alias("role"), escape(t["text"]).alias("text")),
         ).alias("turns"),
     )
     plain = F.transform("turns", lambda t: F.concat(F.lit(OPEN), t["role"], F.lit(">"), t["text"], F.lit(CLOSE)))
@@ -75,9 +86,10 @@ def read_turns(formatted: Column) -> Column:
     parts = F.slice(parts, F.lit(2), F.size(parts) - 1)
 
     def turn(part: Column) -> Column:
-        role = F.regexp_replace(F.substring_index(part, ">", 1), f"{TRAIN}$", "")
+        tag = F.substring_index(part, ">", 1)
+        role = F.when(F.endswith(tag, F.lit(TRAIN)), F.left(tag, F.char_length(tag) - len(TRAIN))).otherwise(tag)
         body = F.substring(part, F.instr(part, ">") + 1, F.char_length(part))
-        return F.struct(unescape(role).alias("role"), unescape(F.substring_index(body, "</turn>", 1)).alias("text"))
+        return F.struct(unescape_role(role).alias("role"), unescape(F.substring_index(body, "</turn>", 1)).alias("text"))
 
     return F.transform(parts, turn)
 

@@ -8,7 +8,7 @@ WITH turns AS (
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized AS (
   SELECT *, role = 'assistant' AS target,
-    length(replace(replace(role, '&', '&amp;'), '<', '&lt;')) + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('<turn >') + length('</turn>') + 1 AS chars,
+    length(replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) + CASE WHEN suffix(role, ' train') THEN 4 ELSE 0 END + length(replace(replace(text, '&', '&amp;'), '<', '&lt;')) + length('<turn >') + length('</turn>') + 1 AS chars,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
     count(*) OVER (PARTITION BY conv_id) AS n
   FROM turns
