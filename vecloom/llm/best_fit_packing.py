@@ -12,13 +12,16 @@ Each task packs its own input in buffers of about BUFFER tokens and writes a blo
   doc_ids, starts, doc_tokens    of each segment: its document, its first id's place in it, its document's ids (null, -1, 0: padding)
 Blocks are Parquet rows written by Spark, so they commit with their task on any file system. There is no shuffle.
 
-Defined cases: a null text is empty and is its end id alone; repeated rows are packed each; rows without an id are packed
-too (their doc_tokens tell them from padding); an empty table gives no blocks; other columns are ignored.
+Defined cases: a null text is empty and is its end id alone; very long texts are encoded whole, but for runs of white space
+beyond LONG_GAP, which the tokenizer can't take and gets in parts of that length; of pieces of equal length the one that was
+read first is placed first; repeated rows are packed each; rows without an id are packed too (their doc_tokens tell them from
+padding); an empty table gives no blocks; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,6 +36,7 @@ from vecloom.llm.common import at, texts
 WIDTH = 2048
 BUFFER = 1 << 21
 END_ID = 50256
+LONG_GAP = 1 << 15
 #: Fixed value: how the vocabulary's text is cut into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -104,6 +108,13 @@ def encoding(path: str) -> tiktoken.Encoding:
     return _loaded[path]
 
 
+def encode(tokens: tiktoken.Encoding, text: str) -> list[int]:
+    if len(text) <= LONG_GAP:
+        return tokens.encode_ordinary(text)
+    cuts = [m.end() for m in re.finditer(rf"\s{{{LONG_GAP}}}", text)]
+    return [i for a, z in zip([0, *cuts], [*cuts, len(text)]) for i in tokens.encode_ordinary(text[a:z])]
+
+
 BLOCK = "block_id long, rows int, width int, ids binary, cu_seqlens binary, positions binary, doc_ids array<{}>, starts array<long>, doc_tokens array<long>"
 
 
@@ -113,7 +124,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     kind = "<u2" if end_id < 1 << 16 and width <= 1 << 16 else "<u4"
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(tokenizer_path).encode_ordinary
+        tokens = encoding(tokenizer_path)
         names: list = []
         held: list[np.ndarray] = []
         total, made, id_type = 0, TaskContext.get().partitionId() << 32, None
@@ -121,7 +132,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         def block() -> pa.RecordBatch:
             rows = place([len(x) for x in held], width)
             ids = np.full(len(rows) * width, end_id, kind)
-            bounds, docs_, starts, tokens = [0], [], [], []
+            bounds, docs_, starts, sizes = [0], [], [], []
             for r, row in enumerate(rows):
                 i = r * width
                 for d, s, n in row:
@@ -130,18 +141,18 @@ def blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                     bounds.append(i)
                     docs_.append(names[d])
                     starts.append(s)
-                    tokens.append(len(held[d]))
+                    sizes.append(len(held[d]))
                 if i < (r + 1) * width:
                     bounds.append((r + 1) * width)
                     docs_.append(None)
                     starts.append(-1)
-                    tokens.append(0)
+                    sizes.append(0)
             cu = np.array(bounds, "<i4")
             positions = (np.arange(len(ids)) - np.repeat(cu[:-1], np.diff(cu))).astype(kind)
             column = lambda x, t: pa.array([x], t)
             names_type = pa.list_(id_type)
             return pa.RecordBatch.from_arrays(
-                [column(made, pa.int64()), column(len(rows), pa.int32()), column(width, pa.int32()), *(column(x.tobytes(), pa.binary()) for x in (ids, cu, positions)), column(docs_, names_type), *(column(x, pa.list_(pa.int64())) for x in (starts, tokens))],
+                [column(made, pa.int64()), column(len(rows), pa.int32()), column(width, pa.int32()), *(column(x.tobytes(), pa.binary()) for x in (ids, cu, positions)), column(docs_, names_type), *(column(x, pa.list_(pa.int64())) for x in (starts, sizes))],
                 ["block_id", "rows", "width", "ids", "cu_seqlens", "positions", "doc_ids", "starts", "doc_tokens"],
             )
 
@@ -149,7 +160,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             id_type = part.schema.field("id").type
             for name, text in zip(part.column("id").to_pylist(), values, strict=True):
                 names.append(name)
-                held.append(np.array([*encode(text), end_id], kind))
+                held.append(np.array([*encode(tokens, text), end_id], kind))
                 total += len(held[-1])
                 if total >= buffer_tokens:
                     yield block()
