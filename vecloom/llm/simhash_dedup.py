@@ -14,9 +14,11 @@ each other, leaving a spanning forest of true links. Fuller keys are never enume
 to the 65 points within one bit of it, and fingerprints at one point (65 at most, by geometry) are at most two bits
 apart. That way is exact too, and linear.
 
-Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; repeated rows
-share a fingerprint; rows without an id take part but never name a component while others do; an empty table gives an
-empty result.
+Fingerprints of many documents, of which there can be few, get their component by a bounded broadcast, the others by a join.
+
+Defined cases: a null text is empty; a text without words has fingerprint zero and links like any other; very long texts count
+whole; repeated rows share a fingerprint; rows without an id take part but never name a component while others do; an
+empty table gives an empty result; other columns are ignored by dedup() and kept by keep_first(), whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from vecloom.llm.common import at, materialize, texts
 from vecloom.llm.components import components, spanning
 
 SEED, SHINGLE, BUCKET = 42, 3, 16
+#: Rows that make a fingerprint hot, and hot ones that are broadcast at most: those of the most rows.
+HOT_ROWS, HOT = 1000, 10_000
 GENERATOR = 0xC75  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
 #: First bit and length of each exact segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -160,28 +164,36 @@ def links(distinct_fp: DataFrame, bucket: int = BUCKET) -> DataFrame:
 
 
 def classes(found: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """found: columns fp and id, materialized. (fp, root, component_id) for every fingerprint; the id is the component's smallest."""
-    first = materialize(found.groupBy("fp").agg(F.min("id").alias("first")), "fingerprints")
+    """found: columns fp and id, materialized. (fp, root, component_id, n) for every fingerprint of n rows; the id is the component's smallest."""
+    first = materialize(found.groupBy("fp").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")), "fingerprints")
     linked = components(links(first.select("fp"), bucket))
     nodes = materialize(linked.union(linked.select("root", "root").distinct()), "nodes")
-    named = nodes.join(first, nodes["node"] == first["fp"]).groupBy("root").agg(F.min("first").alias("least"))
-    by_node = nodes.join(named, "root").select(F.col("node").alias("fp"), "root", "least")
+    named_ = nodes.join(first, nodes["node"] == first["fp"]).groupBy("root").agg(F.min("first").alias("least"))
+    by_node = nodes.join(named_, "root").select(F.col("node").alias("fp"), "root", "least")
     # A null least is a component without any id, where first is null as well.
-    return first.join(by_node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return first.join(by_node, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"), "n")
+
+
+def classified(found: DataFrame, bucket: int = BUCKET, hot_rows: int = HOT_ROWS, hot: int = HOT) -> DataFrame:
+    """found with root and component_id."""
+    known = materialize(classes(found.select("fp", "id"), bucket), "classes")
+    # HOT rows at most; all other fingerprints have so few rows that a join on them is even.
+    common = F.broadcast(known.where(F.col("n") > hot_rows).orderBy(F.desc("n"), "fp").limit(hot).drop("n"))
+    by_hot = found.join(common, "fp")
+    rest = found.join(common.select("fp"), "fp", "left_anti").join(known.drop("n"), "fp")
+    return by_hot.unionByName(rest)
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """One row for each document: id_col, fingerprint (16 hex digits) and component_id."""
     found = materialize(fingerprints(docs, text_col, [id_col], shingle).select(F.col("row")[id_col].alias("id"), "fp"), "simhash")
-    out = found.join(classes(found, bucket), "fp")
-    return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return classified(found, bucket).select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """The documents with one row of each component left: that of the smallest id (of repeated rows, one)."""
     found = materialize(fingerprints(docs, text_col, docs.columns, shingle).withColumn("rid", F.monotonically_increasing_id()), "simhash-rows")
     slim = found.select("rid", "fp", F.col("row")[id_col].alias("id"))
-    by_fp = slim.join(classes(slim.select("fp", "id"), bucket), "fp")
-    ranked = by_fp.select("root", F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("o"))
+    ranked = classified(slim, bucket).select("root", F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("o"))
     winners = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("rid"))
     return found.join(winners, "rid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
