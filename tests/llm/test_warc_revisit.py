@@ -54,6 +54,28 @@ def test_payloads_come_back(spark):
     assert sorted(kept) == sorted({r["html"] or "" for r in pages.collect()})
 
 
+@pytest.mark.parametrize("bits_bytes", [1 << 20, 300])
+def test_two_writes_into_one_folder(spark, bits_bytes):
+    """Archives of several writes, one of them there twice: each payload stays once."""
+    plain, final = scratch(spark, "test"), scratch(spark, "test")
+    page = "page_id long, url string, html string"
+    for rows in ([(1, "a", "A"), (2, "b", "A")], [(11, "c", "B"), (12, "d", "C")], [(11, "c", "B"), (13, "e", "C"), (14, "f", "A")]):
+        R.write_responses(spark.createDataFrame(rows, page).coalesce(1), plain)
+    assert R.read(spark, plain).count() == R.read(spark, plain).select("rid").distinct().count() == 7
+    R.resolve(spark, plain, final, bits_bytes)
+    rows = R.read(spark, final, True).collect()
+    assert sorted((r["page"], r["payload"]) for r in rows if r["type"] == "response") == [(11, "B"), (13, "C"), (14, "A")]
+    assert sorted((r["page"], r["original_page"]) for r in rows if r["type"] == "revisit") == [(1, 14), (2, 14), (11, 11), (12, 13)]
+
+
+def test_files_are_bounded(spark):
+    plain = scratch(spark, "test")
+    R.write_responses(spark.createDataFrame([(i, "u", f"{i} " * 200) for i in range(40)], "page_id long, url string, html string").coalesce(1), plain, bundle_bytes=1000, bundles=2)
+    found = R.read(spark, plain, True)
+    assert found.count() == 40 and found.select("file").distinct().count() > 5
+    assert {r["page"] for r in found.collect()} == set(range(40))
+
+
 def test_broken_archives():
     good = (R.record("response", {"WARC-Record-ID": "x"}, "abc") + R.BETWEEN).encode()
     assert [bytes(b) for _, b in R.parse(good * 2)] == [b"abc"] * 2
