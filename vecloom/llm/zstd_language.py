@@ -1,8 +1,10 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
-Learning: labelled rows are counted by language; of each, about SAMPLE_DOCS rows with the smallest hashes are drawn, whole
-texts of TEXT_LEAST to TEXT_MOST characters, and joined to a raw-content dictionary of DICT_BYTES. These bounds are the
-classifier's only limits and don't grow with the corpus: MAX_LANGUAGES x DICT_BYTES are sent to the executors.
+Learning: distinct labelled texts are counted by language, all languages, and of each, texts with the smallest hashes are drawn
+until their letters fill a raw-content dictionary: at most SAMPLE_DOCS texts and DICT_BYTES, or an even share of TOTAL_BYTES,
+LEAST_BYTES at least, where languages are many. A text longer than TEXT_MOST characters lends that many, from a place that
+its hash tells. The sample depends on text and language only. It is the classifier's only limit and doesn't grow with the
+corpus; what is sent to the executors grows with the number of languages beyond TOTAL_BYTES / LEAST_BYTES only.
 
 Case, digits and signs are left out first: texts and samples are their lowered letters, words parted by one space.
 
@@ -11,9 +13,10 @@ dictionary once the input has run past the window. The language of the smallest
 The result is rejected (`rejected`, the choice stays visible) where the runner-up is nearly as small: by less than
 MARGIN_BYTES or MARGIN_SHARE of it. `score` is the softmax of the negative sizes in units of SCALE_BYTES.
 
-Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; of equal sizes the language
-that is commoner among the learned rows wins; repeated rows get equal results; without any labelled row all texts are `und`; an empty table gives an
-empty result; languages are learned as they are written, the empty string included.
+Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; very long texts are compressed whole;
+of equal sizes the language that is commoner among the learned texts wins; repeated rows get equal results, and count once in
+learning; without any labelled text all are `und`; an empty table gives an empty result; languages are learned as they are
+written, the empty string included; ids take no part; other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,12 +27,11 @@ from math import exp
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from vecloom.llm.common import at, texts
+from vecloom.llm.common import append, appended, at, named, texts
 
-SAMPLE_DOCS, DICT_BYTES, MAX_LANGUAGES = 256, 256 << 10, 64
-TEXT_LEAST, TEXT_MOST = 100, 8000
+SAMPLE_DOCS, DICT_BYTES, TOTAL_BYTES, LEAST_BYTES, TEXT_MOST = 256, 256 << 10, 16 << 20, 4 << 10, 8000
 MARGIN_BYTES, MARGIN_SHARE, SCALE_BYTES = 3, 0.005, 4.0
 #: Well under the window.
 PIECE_BYTES = 64 << 10
@@ -44,33 +46,33 @@ def letters(text: str) -> bytes:
     return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", order_cols: tuple[str, ...] = ("doc_id",)) -> dict[str, bytes]:
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """A raw-content dictionary for each language, the commonest first."""
-    rows = labelled.select(at(lang_col).cast("string").alias("lang"), at(text_col).cast("string").alias("t"), F.pmod(F.xxhash64(*map(at, order_cols)), F.lit(1 << 30)).alias("h")).where("lang is not null and t is not null")
-    fit = F.char_length("t").between(TEXT_LEAST, TEXT_MOST)
-    # One row for each language; languages beyond the commonest MAX_LANGUAGES are not learned.
-    counts = rows.groupBy("lang").agg(F.count_if(fit).alias("fits"), F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    t, h = at(text_col).cast("string"), F.col("h")
+    rows = labelled.select(at(lang_col).cast("string").alias("lang"), t.alias("t"), F.xxhash64(t).alias("h")).where("lang is not null and t is not null")
+    # One row for each language. Copies count once, so that they don't crowd out the sample.
+    counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.avg(F.least(F.char_length("t"), F.lit(TEXT_MOST))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
     if not counts:
         return {}
-    # About SAMPLE_DOCS rows of each language pass by their hash alone: three times as many where so many are there, so that chance leaves enough.
-    chosen: Column = F.lit(False)
-    for r in counts:
-        n = r["fits"] or r["n"]
-        pool = (F.col("lang") == r["lang"]) & (fit if r["fits"] else F.lit(True))
-        chosen = chosen | (pool & (F.col("h") < min(1 << 30, int((1 << 30) * 3 * SAMPLE_DOCS / n) + 1)))
+    most = max(LEAST_BYTES, min(DICT_BYTES, TOTAL_BYTES // len(counts)))
+    span = 1 << 62
+    # Three times as many texts as needed pass by their hash, where so many are there, so that chance leaves enough.
+    wanted = [(r["lang"], min(span, int(span * 3 * min(SAMPLE_DOCS, most / max(1.0, r["chars"]) + 16) / r["n"]) + 1)) for r in counts]
+    least = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, below long"))
+    part = F.substring(F.col("t"), F.when(F.char_length("t") > TEXT_MOST, F.pmod(F.shiftright(h, 7), F.char_length("t") - TEXT_MOST + 1)).otherwise(0).cast("int") + 1, F.lit(TEXT_MOST))
+    drawn = rows.join(least, "lang").where(F.shiftrightunsigned(h, 2) < F.col("below"))
     found: dict[str, list[tuple[int, str]]] = {}
-    for lang, h, t in rows.where(chosen).select("lang", "h", F.substring("t", 1, DICT_BYTES).alias("t")).collect():
-        found.setdefault(lang, []).append((h, t))
+    for lang, key, text in drawn.select("lang", F.shiftrightunsigned(h, 2).alias("h"), part.alias("t")).distinct().collect():
+        found.setdefault(lang, []).append((key, text))
     out = {}
     for lang, sample in found.items():
-        texts_ = dict.fromkeys(t for _, t in sorted(sample))  # copies add nothing
         raw, size = [], 0
-        for t in list(texts_)[:SAMPLE_DOCS]:
-            raw.append(letters(t))
+        for _, text in sorted(sample)[:SAMPLE_DOCS]:
+            raw.append(letters(text))
             size += len(raw[-1])
-            if size >= DICT_BYTES:
+            if size >= most:
                 break
-        out[lang] = b"\n".join(reversed(raw))[-DICT_BYTES:]
+        out[lang] = b"\n".join(reversed(raw))[-most:]
     return {r["lang"]: out[r["lang"]] for r in counts if r["lang"] in out}
 
 
@@ -100,16 +102,18 @@ class Classifier:
 def classify(docs: DataFrame, dictionaries: dict[str, bytes], carry: list[str], text_col: str = "text") -> DataFrame:
     """The carried columns, lang_pred, score and rejected."""
     spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(dictionaries)  # MAX_LANGUAGES x DICT_BYTES at most
-    slim = docs.select(*(at(c) for c in carry), at(text_col).cast("string").alias("text for lang"))
-    kept = [f"`{c}` {slim.schema[c].dataType.simpleString()}" for c in carry]
+    sent = spark.sparkContext.broadcast(dictionaries)
+    slim = docs.select(*(at(c).alias(f"c{i}") for i, c in enumerate(carry)), at(text_col).cast("string").alias("t"))
+    added = "lang_pred string, score double, rejected boolean"
     ready: list[Classifier] = []
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not ready:
             ready.append(Classifier(sent.value))
-        for part, values in texts(batches, "text for lang"):
+        for part, values in texts(batches, "t"):
             rows = [ready[0].predict(x) for x in values]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array([x for x, _, _ in rows], pa.string()), pa.array([x for _, x, _ in rows], pa.float64()), pa.array([x for _, _, x in rows], pa.bool_())], [*carry, "lang_pred", "score", "rejected"])
+            columns = (pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_())))
+            yield append(part.drop_columns(["t"]), **dict(zip(("lang_pred", "score", "rejected"), columns)))
 
-    return slim.mapInArrow(kernel, ", ".join([*kept, "lang_pred string", "score double", "rejected boolean"]))
+    out = slim.mapInArrow(kernel, appended(T.StructType([f for f in slim.schema if f.name != "t"]), added))
+    return named(out, carry, "lang_pred", "score", "rejected")
