@@ -18,8 +18,8 @@ SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 GAP = re.compile(r"[ \t\n\r]+")
 SPECIAL, LAST = "<|", "</w>"
-#: Words kept at most, twice over; about 80 MB each.
-CACHED = 400_000
+#: Words kept at most, twice over, and the longest that are; about 20 MB each.
+CACHED, LONGEST = 100_000, 64
 #: Characters of texts whose words are looked up together.
 TOGETHER = 1 << 18
 
@@ -89,6 +89,8 @@ class Words:
         get = self.new.__getitem__
         for words in group:
             yield np.frombuffer(b"".join(map(get, words)), "<u4")
+        for w in [w for w in here if len(w) > LONGEST]:
+            del self.new[w]
 
 
 _loaded: dict[str, Words] = {}
