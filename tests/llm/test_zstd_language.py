@@ -20,6 +20,46 @@ def test_held_out_accuracy(spark):
     assert len(sure) >= 0.9 * len(held)
 
 
+def test_predictions_against_plain_compression(spark):
+    """Every prediction again: each piece compressed with each dictionary in its own frame, sizes summed."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.001"
+    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labelled = spark.createDataFrame([(r["text"], r["lang"]) for i, r in docs.items() if zlib.crc32(str(i).encode()) % 4 != 2 and r["lang"] is not None], "text string, lang string")
+    dictionaries = Z.learn(labelled)
+    how = zstandard.ZstdCompressionParameters(**Z.PARAMETERS)
+    for r in op8_zstd_language(spark, sf).collect():
+        raw = Z.letters(docs[r["doc_id"]]["text"])
+        sizes = {}
+        for lang, content in dictionaries.items():
+            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes[lang] = sum(len(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress(raw[a : a + Z.PIECE_BYTES])) for a in range(0, len(raw), Z.PIECE_BYTES))
+        if r["lang_pred"] == Z.UNDETERMINED:
+            assert not raw.strip()
+            continue
+        assert sizes[r["lang_pred"]] <= min(sizes.values()) + 2  # a prepared dictionary may cost a byte or two more or less
+        assert not (r["rejected"] and sorted(sizes.values())[1] - min(sizes.values()) > max(Z.MARGIN_BYTES, Z.MARGIN_SHARE * min(sizes.values())) + 2)
+
+
+def test_many_languages_and_no_ids(spark):
+    """None of 90 languages is left out, and what is collected is bounded whatever the ids are."""
+    rng = random.Random(2)
+    rows = []
+    for k in range(90):
+        words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(60)]
+        rows += [(None, " ".join(rng.choices(words, k=60)), f"l{k}") for _ in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    d = Z.learn(docs)
+    assert len(d) == 90 and sum(map(len, d.values())) <= Z.TOTAL_BYTES + 90 * Z.LEAST_BYTES
+    got = Z.classify(docs, d, ["lang"]).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 0.99 * len(got)
+    many = spark.range(20_000).selectExpr("null AS doc_id", "concat('text of some words ', id, repeat(' and many more of them', 30)) AS text", "'en' AS lang")
+    assert 50 < Z.sample(many)[2].count() < 1200
+    copies = spark.range(20_000).selectExpr("'the very same text' AS text", "'en' AS lang")
+    assert Z.sample(copies)[2].count() == 1
+
+
 def test_it_learns_only_from_its_rows(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

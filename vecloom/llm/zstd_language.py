@@ -46,34 +46,38 @@ def letters(text: str) -> bytes:
     return NO_LETTERS.sub(" ", text.lower()).encode("utf-8", "surrogatepass")
 
 
-def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """A raw-content dictionary for each language, the commonest first."""
+def sample(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], int, DataFrame]:
+    """The languages, the commonest first; the bytes of a dictionary; and a table of lang, h and t to make them from, of some 3 x SAMPLE_DOCS rows of TEXT_MOST characters a language."""
     t, h = at(text_col).cast("string"), F.col("h")
     rows = labelled.select(at(lang_col).cast("string").alias("lang"), t.alias("t"), F.xxhash64(t).alias("h")).where("lang is not null and t is not null")
     # One row for each language. Copies count once, so that they don't crowd out the sample.
     counts = rows.groupBy("lang").agg(F.approx_count_distinct("h", 0.02).alias("n"), F.avg(F.least(F.char_length("t"), F.lit(TEXT_MOST))).alias("chars")).orderBy(F.desc("n"), "lang").collect()
-    if not counts:
-        return {}
-    most = max(LEAST_BYTES, min(DICT_BYTES, TOTAL_BYTES // len(counts)))
+    most = max(LEAST_BYTES, min(DICT_BYTES, TOTAL_BYTES // max(1, len(counts))))
     span = 1 << 62
     # Three times as many texts as needed pass by their hash, where so many are there, so that chance leaves enough.
-    wanted = [(r["lang"], min(span, int(span * 3 * min(SAMPLE_DOCS, most / max(1.0, r["chars"]) + 16) / r["n"]) + 1)) for r in counts]
+    wanted = [(r["lang"], min(span, int(span * 3 * min(SAMPLE_DOCS, most / max(1.0, r["chars"]) + 16) / max(1, r["n"])) + 1)) for r in counts]
     least = F.broadcast(rows.sparkSession.createDataFrame(wanted, "lang string, below long"))
-    part = F.substring(F.col("t"), F.when(F.char_length("t") > TEXT_MOST, F.pmod(F.shiftright(h, 7), F.char_length("t") - TEXT_MOST + 1)).otherwise(0).cast("int") + 1, F.lit(TEXT_MOST))
+    place = F.when(F.char_length("t") > TEXT_MOST, F.pmod(F.shiftright(h, 7), F.char_length("t") - TEXT_MOST + 1)).otherwise(0).cast("int")
     drawn = rows.join(least, "lang").where(F.shiftrightunsigned(h, 2) < F.col("below"))
+    return [r["lang"] for r in counts], most, drawn.select("lang", F.shiftrightunsigned(h, 2).alias("h"), F.substring(F.col("t"), place + 1, F.lit(TEXT_MOST)).alias("t")).distinct()
+
+
+def learn(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+    """A raw-content dictionary for each language, the commonest first."""
+    langs, most, drawn = sample(labelled, text_col, lang_col)
     found: dict[str, list[tuple[int, str]]] = {}
-    for lang, key, text in drawn.select("lang", F.shiftrightunsigned(h, 2).alias("h"), part.alias("t")).distinct().collect():
-        found.setdefault(lang, []).append((key, text))
+    for lang, h, t in drawn.collect():
+        found.setdefault(lang, []).append((h, t))
     out = {}
-    for lang, sample in found.items():
+    for lang in langs:
         raw, size = [], 0
-        for _, text in sorted(sample)[:SAMPLE_DOCS]:
-            raw.append(letters(text))
+        for _, t in sorted(found.get(lang, []))[:SAMPLE_DOCS]:
+            raw.append(letters(t))
             size += len(raw[-1])
             if size >= most:
                 break
         out[lang] = b"\n".join(reversed(raw))[-most:]
-    return {r["lang"]: out[r["lang"]] for r in counts if r["lang"] in out}
+    return out
 
 
 class Classifier:
