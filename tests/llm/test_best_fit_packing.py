@@ -74,6 +74,13 @@ def test_rows_are_as_full_as_by_full_search(seed):
     assert fill(got) == fill(want)
 
 
+@pytest.mark.parametrize("text", [" " * 1_000_000, "a" + "\n" * 300_000 + "b", ("x" + " " * 40_000) * 3 + "y", "a" * 300_000])
+def test_long_runs_come_back(text):
+    ids = B.encode(B.encoding(PATH), text)
+    assert B.encoding(PATH).decode(ids) == text
+    assert B.encode(B.encoding(PATH), text[:20_000]) == B.encoding(PATH).encode_ordinary(text[:20_000])
+
+
 def test_blocks(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
     packed = materialize(B.blocks(docs.coalesce(1), PATH, width=64, buffer_tokens=5000), "test")

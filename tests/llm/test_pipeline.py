@@ -1,31 +1,39 @@
 import corpus_pipeline as C
-import numpy as np
 import public_tokenizers
 import pytest
 from llm_cases import edge_documents
 from test_near_copies import brute as classes
-from test_quality_rules import brute as counts
+from test_quality_rules import plain_kept
 from test_suffix_decontam import brute as hits
 from tokenizers import Tokenizer
-from vecloom.llm import quality_rules as Q, secret_scan
+from vecloom.llm import secret_scan
 from vecloom.llm.common import materialize
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def masked(text):
+    """Each run of overlapping findings becomes the name of the first one."""
+    base, more, _ = secret_scan.scan_text(text)
+    runs = []
+    for start, kind, end in sorted([*base, *more]):
+        if runs and start < runs[-1][1]:
+            runs[-1][1] = max(end, runs[-1][1])
+        else:
+            runs.append([start, end, kind])
+    for start, end, kind in reversed(runs):
+        text = f"{text[:start]}[{secret_scan.KINDS[kind]} removed]{text[end:]}"
+    return text
+
+
 def test_pipeline_against_plain_versions(spark):
     docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
-    order = sorted(docs)
-    n = {i: counts(docs[i]) for i in order}
-    passed = {i for i in order if not (n[i][0] < 50 or 100 * n[i][4] > 50 * n[i][0])}
-    votes = Q.votes(np.array([Q.count(docs[i]) for i in order]))
-    posterior = Q.fit(votes, np.array([float(i in passed) for i in order]))["posterior"]
-    docs = {i: docs[i] for i, p in zip(order, posterior) if i in passed and p >= Q.POSTERIOR_LEAST}
+    docs = {i: docs[i] for i in plain_kept(docs)}
     docs = {i: docs[i] for i, c in classes(docs).items() if i == c}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     docs = {r[0]: docs[r[0]] for r in hits(docs.items(), items) if not r[5]}
-    docs = {i: secret_scan.mask(t) for i, t in docs.items()}
+    docs = {i: masked(t) for i, t in docs.items()}
     tokens = Tokenizer.from_file(public_tokenizers.path(C.TOKENIZER))
     want = {i: len(tokens.encode(t, add_special_tokens=False).ids) + 1 for i, t in docs.items()}
     rows = C.run(spark, SF).collect()

@@ -1,3 +1,4 @@
+import math
 import re
 from collections import Counter
 
@@ -18,6 +19,65 @@ def brute(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), sum(x in lines[:i] for i, x in enumerate(lines)), len(covered)
 
 
+def plain_votes(text):
+    """A document's votes, rule by rule."""
+    n_words, chars, symbols, dup_lines, repeats = brute(text)
+    words = WORD.findall(text)
+    if not words:
+        return [0] * len(Q.RULES)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    value = {
+        "n_words": n_words,
+        "repeat_share": repeats / n_words,
+        "symbol_rate": symbols / n_words,
+        "dup_line_share": dup_lines / len(lines),
+        "mean_word": chars / n_words,
+        "letter_share": sum(c.isalpha() or bool(re.match(r"[^\W\d_]", c)) for c in text) / chars,
+        "end_rate": sum(w[-1] in ".!?" for w in words) / n_words,
+        "distinct_share": len(set(words)) / (n_words * min(n_words, 400)) ** 0.5,
+    }
+    return [-1 if (x := value[feature]) < below or x > above else 1 if good <= x <= to else 0 for _, feature, good, to, below, above in Q.RULES]
+
+
+def plain_em(votes, counted):
+    """The posterior of each document, by EM over documents; only the counted ones teach."""
+    p = [(v.count(1) + 0.5) / (v.count(1) + v.count(-1) + 1) for v in votes]
+    for _ in range(200):
+        table = [[[Q.PRIOR_DOCS * Q.PRIOR_VOTES[c][v] for v in range(3)] for _ in Q.RULES] for c in range(2)]
+        good = total = 0.0
+        for x, v, use in zip(p, votes, counted):
+            if use:
+                good, total = good + x, total + 1
+                for r, vote in enumerate(v):
+                    table[0][r][vote + 1] += 1 - x
+                    table[1][r][vote + 1] += x
+        prior = (good + Q.PRIOR_DOCS) / (total + 2 * Q.PRIOR_DOCS)
+        share = [[[math.log(x / sum(row)) for x in row] for row in of] for of in table]
+        new = []
+        for v in votes:
+            bad, fine = (math.log(a) + sum(share[c][r][vote + 1] for r, vote in enumerate(v)) for c, a in ((0, 1 - prior), (1, prior)))
+            new.append(1 / (1 + math.exp(max(-500, min(500, bad - fine)))))
+        if max(abs(a - b) for a, b in zip(p, new)) < 1e-9:
+            return new
+        p = new
+    return p
+
+
+def plain_kept(docs):
+    """docs: texts by id. The ids that are kept."""
+    order = sorted(docs)
+    n = {i: brute(docs[i]) for i in order}
+    passed = [n[i][0] >= 50 and 100 * n[i][4] <= 50 * n[i][0] for i in order]
+    posterior = plain_em([plain_votes(docs[i]) for i in order], passed)
+    return {i for i, ok, p in zip(order, passed, posterior) if ok and p >= Q.POSTERIOR_LEAST}
+
+
+def test_against_plain_em(spark, sf):
+    docs = documents(spark, sf)
+    assert {r["doc_id"] for r in op10_quality_rules(spark, sf).where("kept").collect()} == plain_kept(docs)
+    assert {r["doc_id"] for r in Q.keep_good(spark.read.parquet(f"{sf}/documents.parquet")).collect()} == plain_kept(docs)
+
+
 def test_query(spark):
     sf = "/root/testdata/sf0.01"
     rows = {r["doc_id"]: r for r in op10_quality_rules(spark, sf).collect()}

@@ -1,7 +1,10 @@
+import random
+import struct
 import zlib
 from collections import Counter
 
 import pytest
+import xxhash
 from llm_cases import edge_documents
 from vecloom.llm import stratified_shards as S
 from vecloom.llm.queries import op5_stratified_shards
@@ -42,6 +45,54 @@ def test_skewed_sources(spark, cells):
     assert sorted(found) == sorted(S.shard(df.repartition(5), shards=7, cells=cells).collect())
 
 
+def hashed(*values):
+    """As Spark's xxhash64: a chain over values that aren't null; ("i", x) is an int."""
+    h = 42
+    for v in values:
+        if v is not None:
+            raw = struct.pack("<i", v[1]) if isinstance(v, tuple) else v.encode() if isinstance(v, str) else struct.pack("<q", v)
+            h = xxhash.xxh64_intdigest(raw, h)
+    return h
+
+
+def brute(rows, shards, seed=S.SEED):
+    """rows: (id, text, source). The (id, size, crc, source, shard, slot) of all, by sorting everything."""
+    by, order = {}, []
+    for i, text, source in rows:
+        raw = (text or "").encode()
+        crc, size = zlib.crc32(raw), len(raw) + 8
+        by.setdefault(source, []).append((hashed(("i", seed), i, crc, size, source) >> 2, i is not None, i or 0, crc, size, i))
+    for source, members in by.items():
+        phase = ((hashed(("i", seed + 1), source) >> 12) + 0.5) / float(1 << 52)
+        for rank, (h, *_, crc, size, i) in enumerate(sorted(members, key=lambda m: m[:5]), 1):
+            order.append(((rank - phase) / len(members), source is not None, source or "", h, i is not None, i or 0, crc, size, i, source))
+    out = []
+    for position, (*_, crc, size, i, source) in enumerate(sorted(order, key=lambda o: o[:8])):
+        k = ((position + 1) * shards - 1) // len(rows)
+        out.append((i, size, crc, source, k, position - k * len(rows) // shards))
+    return out
+
+
+@pytest.mark.parametrize("cells", [None, 4])
+def test_against_sorting_everything(spark, cells):
+    rng = random.Random(5)
+    rows = [(rng.choice([None, n, n % 40]), rng.choice([None, "", "é", f"text {n % 9}", "x" * (n % 300)]), rng.choice([None, "hot", "hot", "hot", f"s{n % 12}"])) for n in range(900)]
+    rows += [(None, "the same", "hot")] * 700
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = S.shard(df, shards=7, cells=cells).collect()
+    key = lambda r: tuple((x is not None, x) if x is not None else (False, 0) for x in r)
+    assert sorted(((r["doc_id"], r["size"], r["text_crc32"], r["source"], r["shard"], r["slot"]) for r in got), key=key) == sorted(brute(rows, 7), key=key)
+
+
+def test_copies_are_ranked_as_runs(spark):
+    """A row that is there very often is one row before the shuffle, and takes all its slots behind it."""
+    n = 3 * S.RUN + 5
+    df = spark.range(n + 10).selectExpr("if(id < 10, id, null) AS doc_id", "'t' AS text", "'s' AS source")
+    rows = S.shard(df, shards=5).collect()
+    laws(rows, 5)
+    assert len(rows) == n + 10
+
+
 def test_edges(spark):
     docs = edge_documents(spark)
     rows = S.shard(docs).collect()

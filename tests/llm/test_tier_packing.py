@@ -56,6 +56,58 @@ def test_query(spark, sf, tokenizer):
     assert all(P.STEP_TOKENS - 2048 <= s <= P.STEP_TOKENS + 2048 for s in sizes[1:])
 
 
+def slow_pack(lengths, tiers):
+    """The rules in plain lists of lengths: windows as (size, lengths), and what is left."""
+    top, pools, windows = tiers[-1], [[] for _ in tiers], []
+
+    def route(n):
+        while n >= top:
+            windows.append((top, [top]))
+            n -= top
+        if n:
+            pools[[n <= t for t in tiers].index(True)].append(n)
+
+    for n in lengths:
+        route(n)
+
+    def fill(gap, upto):
+        got = []
+        while gap:
+            for i in range(upto, -1, -1):
+                if fits := [n for n in pools[i] if n <= gap]:
+                    pools[i].remove(max(fits))
+                    got.append(max(fits))
+                    break
+            else:
+                i = next(i for i in range(upto + 1) if pools[i])
+                n = max(pools[i])
+                pools[i].remove(n)
+                got.append(gap)
+                route(n - gap)
+            gap -= got[-1]
+        return got
+
+    for i in reversed(range(len(tiers))):
+        while pools[i]:
+            first = max(pools[i])
+            pools[i].remove(first)
+            gap, below = tiers[i] - first, sum(map(sum, pools[:i]))
+            if below + (sum(pools[i]) if below < gap else 0) < gap:
+                pools[i].append(first)
+                break
+            windows.append((tiers[i], [first, *(fill(gap, i - 1 if below >= gap else i) if gap else [])]))
+    return windows, sorted(n for p in pools for n in p)
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_pack_against_plain_lists(seed):
+    rng = random.Random(seed)
+    tiers = rng.choice([P.TIERS, (4, 8, 16), (7, 50)])
+    lengths = [rng.randint(0, rng.choice([3, tiers[0], tiers[-1], 3 * tiers[-1]])) for _ in range(rng.randint(0, 80))]
+    windows, left = P.pack(lengths, [], tiers)
+    assert ([(size, [n for _, _, n in pieces]) for size, pieces in windows], sorted(n for _, _, n in left)) == slow_pack(lengths, tiers)
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_pack(seed):
     rng = random.Random(seed)

@@ -1,4 +1,9 @@
-"""Connected components of a link table, as rounds of joins and bounded local contraction."""
+"""Connected components of a link table, as rounds of joins and bounded local contraction.
+
+Defined cases: a link of a node to itself and repeated links count for nothing; links with a null go; a node's root is the
+smallest node of its component; an empty table gives an empty result. A hub, a node of very many links, is contracted to its
+root in each task first; what is left meets in a sort-merge join, whose large partitions Spark's skew join splits.
+"""
 
 from __future__ import annotations
 
@@ -73,7 +78,7 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     Each round contracts links inside tasks of at most task_links, then, if more than one task was needed, applies the
     large-star and small-star steps across tasks. It ends when a round changes nothing. Nothing is collected.
     """
-    links = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    links = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
     before = None
     while True:
         n, mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()

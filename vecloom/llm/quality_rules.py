@@ -8,8 +8,9 @@
    decided, and their many agreeing votes on repetition would otherwise become the class that EM finds. The posterior
    of each pattern goes back to all documents. keep_good() counts twice rather than write the corpus once more.
 
-Defined cases: a null or empty text has no words, fails the base rules and gets a posterior like any other; repeated
-rows count as often as they occur; an empty table gives an empty result; other columns are kept by apply_rules().
+Defined cases: a null or empty text has no words, fails the base rules and gets a posterior like any other; very long texts
+are counted whole; a posterior of just POSTERIOR_LEAST is kept; repeated rows count as often as they occur; an empty table
+gives an empty result; other columns may have any names, and are kept.
 """
 
 from __future__ import annotations

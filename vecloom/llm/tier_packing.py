@@ -12,8 +12,9 @@ by their fractional rank within their tier and cut by tokens, so steps are alike
 Each task packs its own input in buffers of about BUFFER tokens. Nothing is shuffled, and a lost task is packed anew
 with the same ids and sequences, as long as its input is split alike.
 
-Defined cases: a null text is empty and is its end id alone; repeated rows are packed each; rows without an id are packed
-too; an empty table gives an empty result; other columns are ignored.
+Defined cases: a null text is empty and is its end id alone; very long texts are encoded whole and cut into windows; of pieces
+of equal length the one that came last is taken first; repeated rows are packed each; rows without an id are packed too; an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
