@@ -13,6 +13,8 @@ from vecloom.functions.vectors import squared_l2
 
 #: A side is broadcast up to this size only.
 BROADCAST_BYTES = 32 << 20
+#: Queries that are searched in one pass, and distances that a task holds at a time.
+BLOCK_QUERIES, BLOCK_CELLS = 1 << 14, 1 << 22
 
 
 def rank(df: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -45,40 +47,84 @@ def exact(base: DataFrame, queries: DataFrame, k: int, dim: int = 64, method: st
     return rank(pairs.select("qid", "id", squared_l2("v", "qv").alias("dist")), k)
 
 
+class Best:
+    """The best k rows of each of n queries so far, as flat columns: position of the query, distance, id. Ids stay integers."""
+
+    def __init__(self, n: int, k: int):
+        self.k = k
+        self.at, self.dist, self.ids = np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64)
+        self.limit = np.full(n, np.inf)  # the k-th distance
+
+    def offer(self, at: np.ndarray, dist: np.ndarray, ids: np.ndarray) -> None:
+        at, dist, ids = np.concatenate([self.at, at]), np.concatenate([self.dist, dist]), np.concatenate([self.ids, ids])
+        order = np.lexsort((ids, dist, at))
+        at = at[order]
+        rank = np.arange(len(at)) - np.searchsorted(at, at)
+        keep, last = rank < self.k, rank == self.k - 1
+        self.limit[at[last]] = dist[order[last]]
+        self.at, self.dist, self.ids = at[keep], dist[order[keep]], ids[order[keep]]
+
+    def candidates(self, near: np.ndarray, slack: np.ndarray | float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+        """near: queries x rows. The cells that may rank, if distances are right up to the slack."""
+        k = min(self.k, near.shape[1])
+        cut = np.minimum(np.partition(near, k - 1, axis=1)[:, k - 1], self.limit)
+        return np.nonzero((near <= (cut + slack)[:, None]) & (near < np.inf))
+
+    def batch(self, qid: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(qid[self.at], pa.int64()), pa.array(self.ids, pa.int64()), pa.array(self.dist)], ["qid", "id", "dist"])
+
+
+def query_blocks(queries: DataFrame, row_bytes: int, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Table]]:
+    """queries: qid, qv, and more. Blocks of bounded size: qid, a matrix, and all columns."""
+    block = block or max(1, min(BLOCK_QUERIES, BROADCAST_BYTES // row_bytes))
+    n = max(1, ceil(queries.count() / block))
+    for b in range(n):
+        rows = (queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b) if n > 1 else queries).toArrow()
+        qid = rows.column("qid").to_numpy().astype(np.int64)
+        flat = np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column("qv").chunks] or [np.empty(0)])
+        yield qid, flat.astype(float).reshape(len(qid), -1) if len(qid) else np.zeros((0, 0)), rows
+
+
 def exact_blocks(base: DataFrame, queries: DataFrame, k: int, dim: int = 64, block: int | None = None) -> DataFrame:
-    """The same by matrix products: queries in blocks of bounded size are sent to all tasks, each gives its own best k."""
+    """The same by matrix products: queries in blocks of bounded size are sent to all tasks, each gives its own best k. A task holds BLOCK_CELLS distances at a time.
+
+    base may have `since` and `until`, and queries `at` and `skip`: then a row counts for queries with since <= at < until and another id than skip.
+    """
     spark = base.sparkSession
-    block = block or max(1, BROADCAST_BYTES // (8 * dim + 64))
-    n = ceil(queries.count() / block)
+    timed = "since" in base.columns
     out = None
-    for b in range(max(1, n)):
-        rows = queries.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == b).select("qid", "qv").collect() if n > 1 else queries.select("qid", "qv").collect()
-        qid = np.array([r[0] for r in rows], np.int64)
-        sent = spark.sparkContext.broadcast((qid, np.array([r[1] for r in rows], float).reshape(len(qid), -1)))
+    slim = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>"), *((F.col("at").cast("long"), F.coalesce(F.col("skip").cast("long"), F.lit(-1).cast("long")).alias("skip")) if timed else ()))
+    for qid, q, rows in query_blocks(slim, 8 * dim + 64, block):
+        when = np.stack([rows.column(c).to_numpy() for c in ("at", "skip")]) if timed else None
+        sent = spark.sparkContext.broadcast((qid, q, when))
 
         def kernel(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            qid, q = sent.value
-            best: list[np.ndarray] = [np.zeros((0, 2))] * len(qid)
-            norms = (q * q).sum(1)[:, None]
+            qid, q, when = sent.value
+            best, norms = Best(len(qid), k), (q * q).sum(1)
             for batch in batches:
                 if not batch.num_rows or not len(qid) or k <= 0:
                     continue
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                v = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
-                if v.shape[1] != q.shape[1]:
+                all_ = np.asarray(batch.column(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(ids), -1)
+                if all_.shape[1] != q.shape[1]:
                     raise ValueError("dimensions differ")
-                near = norms + (v * v).sum(1) - 2 * q @ v.T
-                cut = np.partition(near, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
-                for i in range(len(qid)):  # exact distances of what may rank
-                    j = np.nonzero(near[i] <= cut[i] + 1e-9 * (1 + norms[i]))[0]
-                    d = ((v[j] - q[i]) ** 2).sum(1)
-                    all_ = np.concatenate([best[i], np.stack([d, ids[j].astype(float)], 1)])
-                    best[i] = all_[np.lexsort((all_[:, 1], all_[:, 0]))[:k]]
-            n = [len(x) for x in best]
-            rows = np.concatenate(best) if best else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid, n), pa.int64()), pa.array(rows[:, 1].astype(np.int64)), pa.array(rows[:, 0])], ["qid", "id", "dist"])
-
-        part = base.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(kernel, "qid long, id long, dist double")
+                step = max(1, BLOCK_CELLS // len(qid))
+                for a in range(0, len(ids), step):
+                    v = all_[a : a + step]
+                    # Matrix products tell what may rank; that is taken exactly.
+                    near = norms[:, None] + (v * v).sum(1) - 2 * q @ v.T
+                    if when is not None:
+                        since, until = (batch.column(c).to_numpy(zero_copy_only=False)[a : a + step] for c in (2, 3))
+                        near[(since[None] > when[0][:, None]) | (until[None] <= when[0][:, None]) | (ids[None, a : a + step] == when[1][:, None])] = np.inf
+                    i, j = best.candidates(near, 1e-9 * (1 + norms))
+                    dist = np.empty(len(i))
+                    for b in range(0, len(i), 1 << 14):
+                        dist[b : b + (1 << 14)] = ((v[j[b : b + (1 << 14)]] - q[i[b : b + (1 << 14)]]) ** 2).sum(1)
+                    best.offer(i, dist, ids[a + j])
+            yield best.batch(qid)
+
+        columns = [F.col("id").cast("long"), F.col("v").cast("array<double>"), *((F.col("since").cast("long"), F.col("until").cast("long")) if timed else ())]
+        part = base.select(*columns).mapInArrow(kernel, "qid long, id long, dist double")
         out = part if out is None else out.union(part)
     return rank(out, k)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from vecloom.functions.vectors import squared_l2
 from vecloom.operators import knn
 
 FIELDS = ("seq", "node_id", "dim", "v", "nbrs", "deleted")
@@ -72,14 +71,44 @@ def exact_topk(base: DataFrame, log: DataFrame, queries: DataFrame, k: int, seq:
     return knn.exact(current(base, log, seq, dim), queries, k, dim)
 
 
+def versions(log: DataFrame, dim: int | None = None) -> DataFrame:
+    """Live versions as id, v, since, until: each counts until the next write of its node."""
+    w = Window.partitionBy("node_id").orderBy("seq")
+    each = log.select("node_id", "seq", "v", "dim", "deleted", F.lead("seq").over(w).alias("next"))
+    live = each.where(~F.col("deleted") & (F.lit(True) if dim is None else F.col("dim") == dim))
+    return live.select(F.col("node_id").alias("id"), "v", F.col("seq").alias("since"), F.coalesce("next", F.lit((1 << 63) - 1)).alias("until"))
+
+
+def topk_as_of(log: DataFrame, reads: DataFrame, k: int, dim: int) -> DataFrame:
+    """reads: qid, qv, at. Of the log's versions, the k nearest that each read sees, all reads in one pass."""
+    return knn.exact_blocks(versions(log, dim), reads.withColumn("skip", F.lit(None).cast("long")), k, dim)
+
+
+def merged_as_of(base: DataFrame, log: DataFrame, reads: DataFrame, k: int, dim: int, base_top: DataFrame | None = None) -> DataFrame:
+    """reads: qid, qv, at. merged_topk for reads that are each as of their own sequence."""
+    top = knn.exact(base, reads.select("qid", "qv"), k, dim) if base_top is None else base_top
+    first = log.where(F.col("deleted") | (F.col("dim") == dim)).groupBy("node_id").agg(F.min("seq").alias("touched"))
+    seen = top.join(reads.select("qid", "at"), "qid").join(first, top["id"] == first["node_id"], "left")
+    left = seen.where(F.col("touched").isNull() | (F.col("touched") > F.col("at"))).select("qid", "id", "dist")
+    return knn.rank(left.unionByName(topk_as_of(log, reads, k, dim).select("qid", "id", "dist")), k)
+
+
+def exact_as_of(base: DataFrame, log: DataFrame, reads: DataFrame, k: int, dim: int) -> DataFrame:
+    """reads: qid, qv, at. The k nearest of all that is live for each read: base rows count until their node is first written."""
+    first = log.where(F.col("deleted") | (F.col("dim") == dim)).groupBy("node_id").agg(F.min("seq").alias("touched"))
+    old = base.join(first, base["id"] == first["node_id"], "left").select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("long").alias("since"), F.coalesce("touched", F.lit((1 << 63) - 1)).alias("until"))
+    return knn.exact_blocks(old.unionByName(versions(log, dim)), reads.withColumn("skip", F.lit(None).cast("long")), k, dim)
+
+
 def incremental_neighbors(log: DataFrame, targets: DataFrame, degree: int = 16) -> DataFrame:
     """For each written version in targets (seq, node_id, v): the nearest live versions of other nodes at that time."""
-    t = targets.select(F.col("seq").alias("qid"), F.col("node_id").alias("self"), F.col("v").alias("qv"), F.size("v").alias("qdim"))
-    before = F.broadcast(t) if knn.bounded(t, 1024) else t
-    seen = log.join(before, (log["seq"] < F.col("qid")) & (log["node_id"] != F.col("self")))
-    newest = seen.groupBy("qid", "node_id").agg(F.max_by(F.struct("v", "deleted", "dim", "qv", "qdim"), "seq").alias("r"))
-    live = newest.where(~F.col("r.deleted") & (F.col("r.dim") == F.col("r.qdim")))
-    return knn.rank(live.select("qid", F.col("node_id").alias("id"), squared_l2("r.v", "r.qv").alias("dist")), degree)
+    dims = [r[0] for r in targets.select(F.size("v").alias("dim")).distinct().collect()]
+    out = None
+    for dim in dims or [1]:
+        t = targets.where(F.size("v") == dim).select(F.col("seq").alias("qid"), F.col("node_id").alias("skip"), F.col("v").alias("qv"), (F.col("seq") - 1).alias("at"))
+        one = knn.exact_blocks(versions(log, dim), t, degree, dim)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def memtable(log: DataFrame, flushed: int = 0) -> DataFrame:
@@ -117,10 +146,20 @@ def _sum(log: DataFrame):
     return F.xxhash64(*(F.col(c) for c in ("seq", "node_id", "dim", "v", "nbrs", "deleted")))
 
 
+def record_bytes(v: list | None, nbrs: list | None) -> int:
+    """What a record takes in memory: 48 bytes, 4 for each float, 8 for each neighbour."""
+    return 48 + 4 * len(v or ()) + 8 * len(nbrs or ())
+
+
 def with_checksum(log: DataFrame) -> DataFrame:
     return log.withColumn("checksum", _sum(log))
 
 
+def intact(log: DataFrame) -> DataFrame:
+    """Without the rows whose checksum doesn't hold; rows that never had one stay."""
+    return log.where(F.col("checksum").isNull() | (F.col("checksum") == _sum(log))).drop("checksum")
+
+
 def valid_prefix(log: DataFrame) -> DataFrame:
     """Replays a log up to its first damaged record: rows before the least sequence whose checksum doesn't hold."""
     broken = log.where(~F.col("checksum").eqNullSafe(_sum(log))).agg(F.min("seq").alias("broken"))

@@ -144,17 +144,37 @@ def adc_table(queries: DataFrame, book: Codebook) -> DataFrame:
     return queries.crossJoin(b).select("qid", "m", "c", squared_l2(part, "cv").alias("d"))
 
 
-def adc_topk(codes: DataFrame, queries: DataFrame, book: Codebook, k: int) -> DataFrame:
-    """The best k by table lookups for each query, scanning all codes."""
-    # One row for each query: its tables as an array by sub-space of arrays by centroid.
-    rows = adc_table(queries, book).groupBy("qid", "m").agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "d"))), lambda x: x["d"]).alias("row"))
-    tables = rows.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("m", "row"))), lambda x: x["row"]).alias("table"))
-    row_bytes = 8 * book.subspaces * book.centroids + 64
-    small = knn.bounded(queries, row_bytes)
-    pairs = codes.crossJoin(F.broadcast(tables) if small else tables)
-    near = F.aggregate(F.zip_with("table", "code", lambda t, c: t[c.cast("int")]), F.lit(0.0), lambda s, x: s + x)
-    # Sums of table entries tie often: nine digits make ties equal in whatever order they were summed.
-    return knn.rank(pairs.select("qid", "id", F.round(near, DIGITS).alias("dist")), k)
+def adc_topk(codes: DataFrame, queries: DataFrame, book: Codebook, k: int, block: int | None = None) -> DataFrame:
+    """The best k by table lookups for each query, scanning all codes; queries go in blocks whose tables are bounded."""
+    spark = codes.sparkSession
+    out = None
+    slim = queries.select(F.col("qid").cast("long"), F.col("qv").cast("array<double>"))
+    for qid, q, _ in knn.query_blocks(slim, 8 * book.subspaces * book.centroids + 64, block):
+        # By sub-space: centroids x queries.
+        tables = [((q[:, None, a:b] - book.book(m)[None]) ** 2).sum(2).T for m, (a, b) in enumerate(zip(book.offsets, book.offsets[1:]))] if len(qid) else []
+        sent = spark.sparkContext.broadcast((qid, tables))
+
+        def kernel(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            qid, tables = sent.value
+            best = knn.Best(len(qid), k)
+            for batch in batches:
+                if not batch.num_rows or not len(qid) or k <= 0:
+                    continue
+                ids, code = batch.column(0).to_numpy(zero_copy_only=False), matrix(batch, 1).astype(np.int64)
+                step = max(1, knn.BLOCK_CELLS // len(qid))
+                for a in range(0, len(ids), step):
+                    near = tables[0][code[a : a + step, 0]]
+                    for m in range(1, len(tables)):
+                        near = near + tables[m][code[a : a + step, m]]
+                    # Sums of table entries tie often: nine digits make ties equal in whatever order they were summed.
+                    near = np.round(near.T, DIGITS)
+                    i, j = best.candidates(near)
+                    best.offer(i, near[i, j], ids[a + j])
+            yield best.batch(qid)
+
+        part = codes.select(F.col("id").cast("long"), "code").mapInArrow(kernel, "qid long, id long, dist double")
+        out = part if out is None else out.union(part)
+    return knn.rank(out, k)
 
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int) -> DataFrame:
