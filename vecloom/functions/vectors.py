@@ -1,7 +1,8 @@
-"""Column builders for vectors and small integer formulas. All stay in the JVM."""
+"""Column builders for vectors and small integer formulas, which stay in the JVM, and small tables."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, functions as F
 
 ColumnOrName = Column | str
@@ -36,6 +37,13 @@ def plane(seed: int, number: ColumnOrName, dims: ColumnOrName) -> Column:
     return F.transform(F.sequence(F.lit(0), _c(dims) - 1), lambda d: plane_sign(seed, _c(number), d))
 
 
+def plane_matrix(seed: int, planes: int, dim: int) -> np.ndarray:
+    """The signs of plane_sign, as a matrix of dimensions x planes."""
+    p, d = np.arange(planes, dtype=np.int64)[None], np.arange(dim, dtype=np.int64)[:, None]
+    mixed = ((p * 7919 + d * 104729 + seed).astype(np.uint64) * np.uint64(2654435761)) % np.uint64(1 << 32)
+    return np.where(mixed // np.uint64(1 << 16) % np.uint64(2) == 0, 1.0, -1.0)
+
+
 def simhash_signature(v: ColumnOrName, table: ColumnOrName, bits: int, seed: int) -> Column:
     """A signature of up to 24 bits: bit b is set if the projection on plane table * bits + b is 0 or more."""
     if not 1 <= bits <= 24:

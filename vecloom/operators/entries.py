@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, functions as F
 from vecloom.functions.vectors import evenly_spaced
 from vecloom.operators import kmeans
 
+#: Vectors that k-means over a sample collects at most.
+SAMPLE_MOST = 100_000
+
 
 def mean(base: DataFrame) -> np.ndarray | None:
     """The mean vector, by sums in each task."""
@@ -36,12 +39,16 @@ def hubs(edges: DataFrame, nodes: DataFrame, count: int) -> DataFrame:
 
 
 def cluster_medoids(base: DataFrame, sample_ids: list[int], clusters: int, iterations: int, used: set[int] = frozenset()) -> list[int]:
-    """k-means over a sample; of each cluster the member nearest to its centroid that isn't used. Members are those of the last iteration, before the centroids' last move."""
-    sample = base.where(F.col("id").isin(sample_ids))
-    rows = sorted((r[0], r[1]) for r in sample.select("id", F.col("v").cast("array<double>")).collect())  # a bounded sample
-    if not rows:
+    """k-means over a sample; of each cluster the member nearest to its centroid that isn't used. Members are those of the last iteration, before the centroids' last move. The sample is collected: at most SAMPLE_MOST ids are taken."""
+    if len(sample_ids) > SAMPLE_MOST:
+        raise ValueError(f"a sample of more than {SAMPLE_MOST} vectors")
+    wanted = base.sparkSession.createDataFrame([(int(i),) for i in sample_ids], "id long")
+    rows = base.join(F.broadcast(wanted), "id", "left_semi").select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v")).toArrow()
+    if not len(rows):
         return []
-    ids, v = [i for i, _ in rows], np.array([x for _, x in rows])
+    ids, flat = rows.column(0).to_numpy(), np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in rows.column(1).chunks])
+    order = np.argsort(ids)
+    ids, v = ids[order].tolist(), flat.reshape(len(ids), -1)[order]
     c = v[[i * len(v) // clusters for i in range(min(clusters, len(v)))]].copy()
     near = np.zeros(len(v), int)
     for _ in range(max(1, iterations)):
@@ -59,8 +66,11 @@ def cluster_medoids(base: DataFrame, sample_ids: list[int], clusters: int, itera
     return out
 
 
-def select(base: DataFrame, edges: DataFrame | None, strategy: str, count: int = 64, hub_count: int = 15, cluster_count: int = 0, sample: int = 100_000, iterations: int = 4) -> list[int]:
-    """single: the medoid; even: evenly spaced; hybrid: medoid, hubs, cluster medoids, then even ones, each once, up to count. Ids are 0 to N - 1."""
+def select(base: DataFrame, edges: DataFrame | None, strategy: str, count: int = 64, hub_count: int = 15, cluster_count: int = 0, sample: int = SAMPLE_MOST, iterations: int = 4) -> list[int]:
+    """single: the medoid; even: evenly spaced; hybrid: medoid, hubs, cluster medoids, then even ones, each once, up to count. Ids are 0 to N - 1.
+
+    cluster_count 0 takes as many clusters as there is room for, and none can be had with a sample of 0.
+    """
     n = base.count()
     if strategy == "single":
         return [medoid(base)]
@@ -72,7 +82,7 @@ def select(base: DataFrame, edges: DataFrame | None, strategy: str, count: int =
     if edges is not None:
         out += [r[0] for r in hubs(edges, base, hub_count).collect()]
     out = list(dict.fromkeys(out))[:count]
-    clusters = cluster_count or count - len(out)
-    if clusters > 0:
-        out += cluster_medoids(base, evenly_spaced(n, min(sample, n)), clusters, iterations, set(out))
+    clusters = min(cluster_count or count, count - len(out))
+    if clusters > 0 and sample > 0:
+        out += cluster_medoids(base, evenly_spaced(n, min(sample, SAMPLE_MOST, n)), clusters, iterations, set(out))
     return list(dict.fromkeys([*out, *evenly_spaced(n, count)]))[:count]

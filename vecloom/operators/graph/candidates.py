@@ -2,14 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable, Iterator
 
-from vecloom.functions.vectors import dot, mix_u32, plane, simhash_signature, squared_l2
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F, types as T
+
+from vecloom.functions.vectors import mix_u32, plane_matrix, squared_l2
+from vecloom.operators.kmeans import matrix
+
+#: Members of a full bucket that are neighbours of what falls into it.
+BUCKET_LIMIT = 1024
+
+
+def _projected(base: DataFrame, planes: int, seed: int, schema: str, row: Callable[[np.ndarray], tuple[np.ndarray, ...]]) -> DataFrame:
+    """id, then for each vector what `row` makes of its products with all planes: arrays of vectors x entries, which become rows."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        signs = None
+        for b in batches:
+            if b.num_rows:
+                v = matrix(b, 1)
+                signs = plane_matrix(seed, planes, v.shape[1]) if signs is None else signs
+                columns = row(v @ signs)
+                n = columns[0].shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(zero_copy_only=False), n)), *(pa.array(c.ravel()) for c in columns)], names)
+
+    names = [f.name for f in T.StructType.fromDDL(schema)]
+    return base.select(F.col("id").cast("long"), F.col("v").cast("array<double>")).mapInArrow(kernel, schema)
 
 
 def projection_scores(base: DataFrame, planes: int, seed: int = 42) -> DataFrame:
-    """id, plane, score."""
-    return base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(planes - 1))).alias("plane")).select("id", "plane", F.round(dot("v", plane(seed, F.col("plane"), F.size("v"))), 9).alias("score"))
+    """id, plane, score. The planes' signs are made once a task."""
+    return _projected(base, planes, seed, "id long, plane int, score double", lambda x: (np.broadcast_to(np.arange(planes, dtype=np.int32), x.shape), np.round(x, 9)))
 
 
 def plane_ranks(scores: DataFrame, cells: int) -> DataFrame:
@@ -36,12 +61,18 @@ def random_projection(base: DataFrame, planes: int = 8, window: int = 24, seed:
 
 
 def signatures(base: DataFrame, tables: int = 8, bits: int = 14, seed: int = 42) -> DataFrame:
-    """id, table, signature."""
-    each = base.select("id", "v", F.explode(F.sequence(F.lit(0), F.lit(tables - 1))).alias("table"))
-    return each.select("id", "table", simhash_signature("v", "table", bits, seed).alias("signature"))
+    """id, table, signature of up to 24 bits: bit b of a table is set if the projection on plane table * bits + b is 0 or more."""
+    if not 1 <= bits <= 24:
+        raise ValueError("bits must be from 1 to 24")
+
+    def row(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        set_ = (x >= 0).reshape(len(x), tables, bits)
+        return np.broadcast_to(np.arange(tables, dtype=np.int32), (len(x), tables)), (set_ << np.arange(bits, dtype=np.int32)).sum(2).astype(np.int32)
+
+    return _projected(base, tables * bits, seed, "id long, table int, signature int", row)
 
 
-def lsh(base: DataFrame, tables: int = 8, bits: int = 14, radius: int = 0, bucket_limit: int | None = None, seed: int = 42) -> DataFrame:
+def lsh(base: DataFrame, tables: int = 8, bits: int = 14, radius: int = 0, bucket_limit: int | None = BUCKET_LIMIT, seed: int = 42) -> DataFrame:
     """Nodes that share a bucket, or with radius 1, whose signatures differ in a bit. A fuller bucket gives bucket_limit of its members, by seeded hash."""
     if radius not in (0, 1):
         raise ValueError("radius must be 0 or 1")
@@ -115,6 +146,22 @@ def delete_patch(edges: DataFrame, deleted: DataFrame) -> DataFrame:
     return own.union(around).where("src <> dst").distinct()
 
 
+def build_stats(edges: DataFrame, candidates: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of a build: degrees; candidates a node (mean, 95th and 99th percentile, between ranks); how many it pruned; and edges that no candidate of their source gave, which were added in reverse."""
+    distinct = candidates.where("src <> dst").select("src", "dst").distinct()
+    per = nodes.select(F.col("id").alias("src")).join(distinct.groupBy("src").agg(F.count(F.lit(1)).alias("n")), "src", "left").select(F.coalesce("n", F.lit(0)).alias("n"))
+    degrees = nodes.select(F.col("id").alias("src")).join(edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree")), "src", "left").select(F.coalesce("degree", F.lit(0)).alias("degree"))
+    own = edges.select("src", "dst").join(distinct, ["src", "dst"], "left_semi")
+    q = lambda p: F.round(F.expr(f"percentile(n, {p})"), 6)
+    parts = (
+        degrees.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.max("degree").alias("max_degree"), F.sum("degree").alias("edges")),
+        per.agg(F.round(F.avg("n"), 6).alias("candidate_avg"), q(0.95).alias("candidate_p95"), q(0.99).alias("candidate_p99"), F.sum("n").alias("candidates")),
+        own.agg(F.count(F.lit(1)).alias("kept")),
+    )
+    out = parts[0].crossJoin(F.broadcast(parts[1])).crossJoin(F.broadcast(parts[2]))  # a row each
+    return out.select("nodes", "avg_degree", "max_degree", "candidate_avg", "candidate_p95", "candidate_p99", (F.col("candidates") - F.col("kept")).alias("pruned"), (F.col("edges") - F.col("kept")).alias("reverse_added"))
+
+
 def degree_stats(edges: DataFrame) -> DataFrame:
     per = edges.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
     return per.agg(F.count(F.lit(1)).alias("nodes"), F.round(F.avg("degree"), 6).alias("avg_degree"), F.max("degree").alias("max_degree"), F.round(F.expr("percentile(degree, 0.95)"), 6).alias("p95_degree"), F.round(F.expr("percentile(degree, 0.99)"), 6).alias("p99_degree"))
