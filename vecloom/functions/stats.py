@@ -6,7 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-TRUE = ("1", "true", "yes", "y", "t")
+#: Words that stand for true, false and no value in traces, in any case; and those that stand for no number.
+TRUE = ("1", "true", "yes", "y", "on")
+FALSE = ("0", "false", "no", "n", "off", "-1")
+NO_BOOL = ("", "null", "none", "nan")
+NO_NUMBER = ("", "-1", "null", "None", "nan")
 
 
 def nearest_rank(value: str, p: float) -> Column:
@@ -25,9 +29,9 @@ def gain(label: Column, rank: Column) -> Column:
 
 
 def first_of(df: DataFrame, names: Sequence[str]) -> Column:
-    """The first of these columns that exists and isn't blank in a row; null otherwise."""
-    there = [F.when(F.trim(F.col(n).cast("string")) != "", F.trim(F.col(n).cast("string"))) for n in names if n in df.columns]
-    return F.coalesce(*there) if there else F.lit(None).cast("string")
+    """The first of these columns that exists, as a trimmed string; null without one."""
+    there = next((F.trim(F.col(f"`{n}`").cast("string")) for n in names if n in df.columns), None)
+    return F.lit(None).cast("string") if there is None else there
 
 
 def missing(df: DataFrame, aliases: dict[str, Sequence[str]]) -> list[str]:
@@ -36,12 +40,21 @@ def missing(df: DataFrame, aliases: dict[str, Sequence[str]]) -> list[str]:
 
 
 def as_bool(c: Column) -> Column:
-    return F.coalesce(F.lower(F.trim(c.cast("string"))).isin(*TRUE), F.lit(False)) | (F.coalesce(as_double(c), F.lit(0.0)) != 0)
+    """True, false, or null for anything that is neither."""
+    x = F.lower(F.trim(c.cast("string")))
+    return F.when(x.isin(*TRUE), True).when(x.isin(*FALSE), False)
 
 
 def as_double(c: Column) -> Column:
-    return F.trim(c.cast("string")).try_cast("double")
+    """A finite number, or null; -1 stands for a missing one."""
+    x = F.trim(c.cast("string"))
+    n = x.try_cast("double")
+    return F.when(~x.isin(*NO_NUMBER) & ~F.isnan(n) & (F.abs(n) != float("inf")), n)
 
 
 def as_long(c: Column) -> Column:
-    return F.coalesce(F.trim(c.cast("string")).try_cast("long"), F.floor(as_double(c)).cast("long"))
+    """The whole part of a finite number, or null; long integers keep all their digits."""
+    x = F.trim(c.cast("string"))
+    n = as_double(c)
+    cut = F.when(n < 0, F.ceil(n)).otherwise(F.floor(n))
+    return F.when(~x.isin(*NO_NUMBER), F.coalesce(x.try_cast("long"), cut.cast("long")))

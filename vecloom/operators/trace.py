@@ -4,33 +4,82 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from vecloom.functions.stats import as_bool, as_long, first_of, gain, nearest_rank
+from vecloom.functions.stats import as_bool, as_double, as_long, first_of, gain, missing, nearest_rank
 
-#: Column names that traces have used.
+#: Column names that traces have used, the first that a trace has counts.
 ALIASES = {
-    "query_id": ("query_id", "query"),
+    "query_id": ("query_id", "qid", "query"),
     "step_id": ("step_id", "step"),
     "trigger": ("trigger", "prefetch_trigger"),
-    "submit_time": ("prefetch_submit_time", "submit_time"),
-    "ready_time": ("prefetch_ready_time", "ready_time"),
-    "demand_time": ("demand_time", "first_demand_time"),
-    "was_prefetched": ("was_prefetched", "prefetched"),
-    "was_demanded": ("was_demanded", "demanded"),
-    "was_evicted_before_use": ("was_evicted_before_use", "dropped"),
+    "submit_time": ("prefetch_submit_time", "submit_time", "submit_time_us"),
+    "ready_time": ("prefetch_ready_time", "ready_time", "ready_time_us"),
+    "demand_time": ("demand_time", "demand_time_us", "access_time", "demand_access_time", "first_demand_time"),
+    "was_prefetched": ("was_prefetched", "prefetched", "prefetch_submitted"),
+    "was_demanded": ("was_demanded", "demanded", "was_used", "used"),
+    "was_evicted_before_use": ("was_evicted_before_use", "evicted_before_use", "prefetch_dropped", "dropped"),
 }
+#: Further ones, which an analysis can do without.
+FURTHER = {
+    "was_ready_before_demand": ("was_ready_before_demand", "ready_before_demand", "prefetch_ready_hit"),
+    "label": ("label", "prefetch_label"),
+}
+#: Queries are ranked in 2**SPLIT_BITS cells.
+SPLIT_BITS = 12
 #: Least ready, most unused, most late and least overlap share of a healthy trace.
 LIMITS = {"ready_rate": 0.5, "unused_rate": 0.3, "pending_rate": 0.5, "overlap_rate": 0.3}
 
 
 def normalized(raw: DataFrame) -> DataFrame:
-    """A raw trace with typed columns under their first names; missing ones are null."""
+    """A raw trace with typed columns under their first names; missing ones are null, missing flags 0."""
     out = {}
     for name, names in ALIASES.items():
         c = first_of(raw, names)
-        out[name] = c if name == "trigger" else as_bool(c).cast("int") if name.startswith("was_") else as_long(c)
+        out[name] = c if name == "trigger" else F.coalesce(as_bool(c), F.lit(False)).cast("int") if name.startswith("was_") else as_long(c)
     return raw.select(*(c for c in raw.columns if c not in out), *(c.alias(n) for n, c in out.items()))
 
 
+def analysis(raw: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Counts, rates and lead times of a raw trace, over all or by logical columns (query_id, trigger).
+
+    A submission is a set flag or a submit time, a demand a set flag, a demand time or a label over 0. A page was ready
+    if its time is before its demand, or where a time is missing, if its flag says so. The lead is the time between.
+    """
+    c = {name: first_of(raw, names) for name, names in {**ALIASES, **FURTHER}.items()}
+    flag = lambda name: F.coalesce(as_bool(c[name]), F.lit(False))
+    submit, ready, demand = (as_double(c[n]) for n in ("submit_time", "ready_time", "demand_time"))
+    f = flag("was_prefetched") | submit.isNotNull()
+    d = flag("was_demanded") | demand.isNotNull() | F.coalesce(as_long(c["label"]) > 0, F.lit(False))
+    timely = F.coalesce(ready < demand, flag("was_ready_before_demand"))
+    group = {"query_id": as_long(c["query_id"]), "trigger": F.coalesce(F.nullif(c["trigger"], F.lit("")), F.lit("unknown"))}
+    rows = raw.select(
+        *(group[n].alias(n) for n in by or []),
+        as_long(c["query_id"]).alias("q"), f.alias("f"), d.alias("d"), (f & ready.isNotNull()).alias("r"),
+        (f & flag("was_evicted_before_use")).alias("x"), (f & d & timely).alias("t"), F.when(f & d & timely, demand - ready).alias("lead"),
+    )
+    out = rows.groupBy(*(by or [])).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.nullif(F.count_distinct("q"), F.lit(0)).alias("queries"),
+        F.count_if("f").alias("prefetch_submitted"),
+        F.count_if("r").alias("prefetch_ready"),
+        F.count_if(F.col("f") & F.col("d")).alias("prefetch_used"),
+        F.count_if("t").alias("prefetch_ready_before_demand"),
+        F.count_if(F.col("f") & F.col("d") & ~F.col("t")).alias("prefetch_pending_at_demand"),
+        F.count_if(F.col("f") & ~F.col("d")).alias("prefetch_unused"),
+        F.count_if("x").alias("prefetch_dropped"),
+        F.round(F.avg("lead"), 6).alias("avg_lead_time_us"),
+        *(F.round(nearest_rank("lead", p), 6).alias(f"{n}_lead_time_us") for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))),
+    )
+    share = {"ready_hit_rate": ("prefetch_ready_before_demand", "prefetch_submitted"), "pending_hit_rate": ("prefetch_pending_at_demand", "prefetch_used"), "useful_rate": ("prefetch_used", "prefetch_submitted"), "waste_rate": ("prefetch_unused", "prefetch_submitted"), "drop_rate": ("prefetch_dropped", "prefetch_submitted")}
+    return out.withColumns({n: F.round(F.try_divide(F.col(a), F.col(b)), 6) for n, (a, b) in share.items()})
+
+
+def analysis_report(raw: DataFrame, by: list[str] | None = None) -> str:
+    """The analysis as Markdown, with the wanted columns that the trace doesn't have."""
+    lacking = missing(raw, {n: ALIASES[n] for n in ("query_id", "was_prefetched", "ready_time", "demand_time", "was_demanded", "was_evicted_before_use")})
+    parts = [markdown(analysis(raw), "Global")] + [markdown(analysis(raw, [n]).orderBy(n), f"By {n}") for n in by or []]
+    return "\n".join([*parts, *([f"Columns that are missing: {', '.join(lacking)}\n"] if lacking else [])])
+
+
 def summary(trace: DataFrame, by: list[Column | str] | None = None) -> DataFrame:
     """Counts and rates of submissions. A page is ready if its time is before its demand, strictly."""
     f, d = F.col("was_prefetched") == 1, F.col("was_demanded") == 1
@@ -74,7 +123,6 @@ def with_group(trace: DataFrame) -> DataFrame:
 
 def split(trace: DataFrame, train: int = 3000, valid: int = 1000, test: int = 1000, seed: int = 42) -> DataFrame:
     """Adds part (train, valid, test) by query: of n queries the counts as given if they suffice, else in proportion, and 60/20/20 if they are all 0. Under three queries all rows are training rows."""
-    w = Window.orderBy("h", "query_id")
     ids = trace.select("query_id").distinct()
     n = ids.count()
     total = train + valid + test
@@ -86,7 +134,12 @@ def split(trace: DataFrame, train: int = 3000, valid: int = 1000, test: int = 10
         a, b, n = train, valid, total
     else:
         a, b = max(1, n * train // total), max(1, n * valid // total)
-    ranked = ids.withColumn("h", F.xxhash64(F.lit(seed), "query_id")).withColumn("i", F.row_number().over(w))
+    # Ranks by hash without a sort of all: counts of the hash's leading bits give each cell its first rank.
+    cells = ids.withColumn("h", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "query_id"), 1)).withColumn("cell", F.shiftright("h", 63 - SPLIT_BITS))
+    sizes = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
+    before = sizes.select("cell", (F.sum("size").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")).alias("before"))
+    inside = F.row_number().over(Window.partitionBy("cell").orderBy("h", "query_id"))
+    ranked = cells.withColumn("inside", inside).join(F.broadcast(before), "cell").withColumn("i", F.col("before") + F.col("inside"))
     part = F.when(F.col("i") <= a, "train").when(F.col("i") <= a + b, "valid").when(F.col("i") <= n, "test")
     return trace.join(ranked.select("query_id", part.alias("part")), "query_id").where("part is not null")
 

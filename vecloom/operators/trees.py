@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: The dump's line formats.
-BASE = re.compile(r"base_score=(\S+)")
-BOOSTER = re.compile(r"booster\[(\d+)\]")
-SPLIT = re.compile(r"(\d+):\[(\w+)<([^\]]+)\] yes=(\d+),no=(\d+)(?:,missing=(\d+))?")
-LEAF = re.compile(r"(\d+):leaf=(\S+)")
+#: The dump's line formats. What stands behind a leaf's value or a split's targets, after a comma, is left out.
+BASE = re.compile(r"base_score=([^\s,]+)")
+BOOSTER = re.compile(r"(?:booster|tree)\[")
+SPLIT = re.compile(r"(\d+)\s*:\s*\[\s*(\w+)\s*<([^\]]+)\]\s*yes=(\d+),\s*no=(\d+)(?:,\s*missing=(\d+))?")
+LEAF = re.compile(r"(\d+)\s*:\s*leaf=([^\s,]+)")
 FEATURES = ("num_candidates_on_page", "min_pq_rank_on_page", "avg_pq_rank_on_page", "candidate_rank_span", "contains_top1_candidate", "contains_topk_candidate", "is_cached", "is_inflight", "io_queue_depth", "cache_pressure")
 
 Node = tuple  # ("leaf", value) or ("split", feature, threshold, yes, no, missing)
@@ -25,18 +26,29 @@ class Ensemble:
     @classmethod
     def parse(cls, text: str) -> Ensemble:
         out = cls()
+
+        def tree() -> dict[int, Node]:
+            """The last one; nodes before any header make one of their own."""
+            if not out.trees:
+                out.trees.append({})
+            return out.trees[-1]
+
         for line in text.splitlines():
-            line = line.strip()
+            line = line.partition("#")[0].strip()
             if m := BASE.match(line):
                 out.base_score = float(m[1])
             elif BOOSTER.match(line):
                 out.trees.append({})
             elif m := SPLIT.match(line):
-                out.trees[-1][int(m[1])] = ("split", m[2], float(m[3]), int(m[4]), int(m[5]), int(m[6] or m[4]))
+                if not math.isfinite(float(m[3])):
+                    raise ValueError(f"a threshold that isn't finite: {line}")
+                tree()[int(m[1])] = ("split", m[2], float(m[3]), int(m[4]), int(m[5]), int(m[6] or m[4]))
             elif m := LEAF.match(line):
-                out.trees[-1][int(m[1])] = ("leaf", float(m[2]))
-            elif line:
-                raise ValueError(f"not a line of a tree dump: {line}")
+                tree()[int(m[1])] = ("leaf", float(m[2]))
+            elif ":" in line:
+                raise ValueError(f"not a node of a tree: {line}")
+        if not out.trees:
+            raise ValueError("a model without trees")
         for tree in out.trees:
             for node in tree.values():
                 if node[0] == "split" and not {*node[3:]} <= set(tree):
