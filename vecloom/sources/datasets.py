@@ -22,7 +22,7 @@ def sift_paths(folder: str) -> dict[str, str]:
     return {"base": f"{folder}/sift_base.fvecs", "queries": f"{folder}/sift_query.fvecs", "truth": f"{folder}/sift_groundtruth.ivecs"}
 
 
-def load(spark: SparkSession, base: str, queries: str, truth: str | None = None, base_limit: int = -1, query_offset: int = 0, query_limit: int = -1) -> Dataset:
+def load(spark: SparkSession, base: str, queries: str, truth: str | None = None, base_limit: int = -1, query_offset: int = 0, query_limit: int = 0) -> Dataset:
     vector_files.register(spark)
     b = spark.read.format("fvecs").option("limit", base_limit).load(base)
     q = slice_queries(spark.read.format("fvecs").load(queries).select(F.col("id").alias("qid"), F.col("v").alias("qv")), query_offset, query_limit)
@@ -49,11 +49,14 @@ def check(d: Dataset) -> None:
             raise ValueError("a true neighbour isn't in the base")
 
 
-def slice_queries(queries: DataFrame, offset: int = 0, limit: int = -1) -> DataFrame:
+def slice_queries(queries: DataFrame, offset: int = 0, limit: int = 0) -> DataFrame:
+    """Queries from the offset on, `limit` of them at most (0 or less: all that are left). An offset past the end is an error."""
     if offset < 0:
         raise ValueError("offset must not be negative")
     out = queries.where(F.col("qid") >= offset)
-    return out if limit < 0 else out.where(F.col("qid") < offset + limit)
+    if offset and offset > (last := queries.agg(F.coalesce(F.max("qid") + 1, F.lit(0))).head()[0]):
+        raise ValueError(f"an offset of {offset} in {last} queries")
+    return out if limit <= 0 else out.where(F.col("qid") < offset + limit)
 
 
 def _normal(seed: Column | int, *keys: Column) -> Column:

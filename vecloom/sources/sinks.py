@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: The columns of a trace file, in order.
@@ -25,6 +27,15 @@ def write(rows: DataFrame, path: str, mode: str = "error") -> None:
         raise ValueError(f"neither .json nor .csv: {path}")
 
 
+def write_result(spark: SparkSession, result: dict, path: str) -> None:
+    """One result, nested values included, as a folder of one JSON line."""
+    spark.createDataFrame([(json.dumps(result, default=str),)], "value string").coalesce(1).write.text(path)
+
+
+def read_result(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).head()[0])
+
+
 def append_trace(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").option("header", True).csv(path)
 
