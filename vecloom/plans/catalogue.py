@@ -8,7 +8,10 @@ from vecloom.functions import vectors as V
 from vecloom.operators import entries, ivf, kmeans, knn, metrics, oplog, pq, prefetch, trace as tr
 from vecloom.operators.graph import candidates as cand, index
 from vecloom.operators.trees import Ensemble
-from vecloom.plans import tables as t
+from vecloom.plans import tables as t, workload
+from vecloom.plans.engine import Engine
+from vecloom.sources import log_files, pages
+from vecloom.sources.oplog_store import OplogStore
 from vecloom.sources.scratch import fresh
 
 K = 10
@@ -140,18 +143,30 @@ def hub_entries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hybrid_entries_no_cluster(spark: SparkSession, d: str) -> DataFrame:
+    """The medoid, five hubs and evenly spaced ones."""
+    ids = entries.select(t.vectors(spark, d), t.edges(spark, d), "hybrid", 16, hub_count=5, sample=0)
+    return spark.createDataFrame(list(enumerate(ids)), "pos int, id long")
+
+
+def entries_by_strategy(spark: SparkSession, d: str) -> DataFrame:
     b = t.vectors(spark, d)
-    n = b.count()
-    ids = [entries.medoid(b), *(r[0] for r in entries.hubs(t.edges(spark, d), b, 5).collect()), *V.evenly_spaced(n, 16)]
-    return spark.createDataFrame([(i, x) for i, x in enumerate(list(dict.fromkeys(ids))[:16])], "pos int, id long")
+    return spark.createDataFrame([(how, i, x) for how in ("single", "even") for i, x in enumerate(entries.select(b, None, how, 9))], "strategy string, pos int, id long")
 
 
 def cluster_medoids(spark: SparkSession, d: str) -> DataFrame:
-    """No SQL twin: the sequence of unused picks depends on those before."""
+    """After four iterations; no SQL twin."""
+    return _medoids(spark, d, 4)
+
+
+def cluster_medoids_one_iteration(spark: SparkSession, d: str) -> DataFrame:
+    return _medoids(spark, d, 1)
+
+
+def _medoids(spark: SparkSession, d: str, iterations: int) -> DataFrame:
     b = t.vectors(spark, d)
     n = b.count()
-    ids = entries.cluster_medoids(b, V.evenly_spaced(n, n), 8, 4)
-    return spark.createDataFrame([(i, x) for i, x in enumerate(ids)], "pos int, id long")
+    ids = entries.cluster_medoids(b, V.evenly_spaced(n, min(n, entries.SAMPLE_MOST)), 8, iterations)
+    return spark.createDataFrame(list(enumerate(ids)), "pos int, id long")
 
 
 # --- product quantization -----------------------------------------------------------------------------------------
@@ -234,6 +249,13 @@ def ivf_probe_topk(spark: SparkSession, d: str) -> DataFrame:
     return _rounded(found.search(t.queries(spark, d), K, nprobe=2))
 
 
+def ivf_insert(spark: SparkSession, d: str) -> DataFrame:
+    """Buckets after half of the vectors were inserted behind the others, and how many came since training."""
+    b, c = t.vectors(spark, d), _cells(spark, d)
+    half = ivf.IvfFlat(c, kmeans.assign(b.where("id % 2 = 0"), c).drop("dist")).insert(b.where("id % 2 = 1"))
+    return half.rows.select("id", "c", F.lit(half.dirty).cast("long").alias("dirty"))
+
+
 # --- graphs -------------------------------------------------------------------------------------------------------
 
 
@@ -275,6 +297,14 @@ def degree_stats(spark: SparkSession, d: str) -> DataFrame:
     return cand.degree_stats(cand.random_projection(t.vectors(spark, d), **RP))
 
 
+def build_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Of a graph of each node's nearest candidates, with reverse edges."""
+    b = t.vectors(spark, d)
+    found = cand.random_projection(b, **RP)
+    edges = cand.reverse(cand.nearest_from(found.where("(src + dst) % 3 <> 0"), b, 6).select("src", "pos", "dst"), b, 6)
+    return cand.build_stats(edges, found.where("(src + dst) % 3 <> 0 AND src % 5 <> 0"), b)
+
+
 def bfs_levels(spark: SparkSession, d: str) -> DataFrame:
     """Nodes within four steps of node 0, by a recursive query."""
     t.edges(spark, d, 4).createOrReplaceTempView("bfs_edges")
@@ -286,6 +316,25 @@ def page_assignment(spark: SparkSession, d: str) -> DataFrame:
     return index.pages(ordered, t.PER_PAGE).select("id", "page_id", "slot")
 
 
+def page_codec(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes written into binary pages and read back."""
+    b, e = t.vectors(spark, d), t.edges(spark, d)
+    nbrs = e.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("nbrs"))
+    nodes = b.join(nbrs, b["id"] == nbrs["src"]).select("id", "v", "nbrs")
+    shape = {"dim": 64, "degree": 8, "page_size": 4096}
+    slots = V.nodes_per_page(4096, 64, 8, 0)
+    placed = b.select("id", F.expr(f"id div {slots}").alias("page_id"), F.expr(f"cast(id % {slots} AS int)").alias("slot"))
+    back = pages.decode(pages.encode(nodes, placed, **shape), **shape)
+    return back.select("page_id", "slot", "id", F.concat_ws(",", F.col("nbrs").cast("array<string>")).alias("nbrs"), F.round(V.fold(F.transform("v", lambda x: x.cast("double"))), 4).alias("total"))
+
+
+def node_records(spark: SparkSession, d: str) -> DataFrame:
+    """Nodes as records with a checksum, read back."""
+    b = t.vectors(spark, d).withColumn("nbrs", F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: F.col("id") * i + i))
+    back = pages.decode_records(pages.encode_records(b.select("id", "v", "nbrs")))
+    return back.select("id", F.concat_ws(",", F.col("nbrs").cast("array<string>")).alias("nbrs"), F.round(V.fold(F.transform("v", lambda x: x.cast("double"))), 4).alias("total"))
+
+
 def robust_prune_invariants(spark: SparkSession, d: str) -> DataFrame:
     """Prunes candidates and checks what defines the result: no pick rules out a later one, and no node has too many."""
     b, degree, alpha = t.vectors(spark, d), 6, 1.2
@@ -308,21 +357,35 @@ def _found(name: str, found: DataFrame, truth: DataFrame) -> DataFrame:
     return metrics.mean_recall(found, truth, K).select(F.lit(name).alias("method"), "queries", (F.col("recall") >= 0.9).alias("recall_ok"))
 
 
+def ann_recall_values(spark: SparkSession, d: str) -> DataFrame:
+    """As ann_recall, the recalls themselves; no SQL twin."""
+    out = None
+    for name, found in _ann(spark, d):
+        one = metrics.mean_recall(found, t.top(spark, d, K), K).select(F.lit(name).alias("method"), "queries", F.round("recall", 4).alias("recall"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     """Graph, inverted-file and quantized search against the exact result."""
-    b, q, truth = t.vectors(spark, d), t.queries(spark, d), t.top(spark, d, K)
-    g, book = _graph(spark, d), pq.fit(b, 16, 64)
-    graph = index.search(g, q, K, width=256, beam=8)
-    coded = index.search(g, q, K, width=256, beam=8, rerank=100, book=book)
-    quantized = pq.search(b, pq.encode(b, book), q, book, K, 100)
-    inverted = ivf.IvfFlat.build(b, 16).search(q, K, nprobe=12)
-    out = None
-    for name, found in (("graph", graph), ("graph_pq", coded), ("pq_rerank", quantized), ("ivf", inverted)):
+    out, truth = None, t.top(spark, d, K)
+    for name, found in _ann(spark, d):
         one = _found(name, found, truth)
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def _ann(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
+    b, q = t.vectors(spark, d), t.queries(spark, d)
+    g, book = _graph(spark, d), pq.fit(b, 16, 64)
+    return [
+        ("graph", index.search(g, q, K, width=256, beam=8)),
+        ("graph_pq", index.search(g, q, K, width=256, beam=8, rerank=100, book=book)),
+        ("pq_rerank", pq.search(b, pq.encode(b, book), q, book, K, 100)),
+        ("ivf", ivf.IvfFlat.build(b, 16).search(q, K, nprobe=12)),
+    ]
+
+
 def graph_packing(spark: SparkSession, d: str) -> DataFrame:
     """Every packing gives each node one place on full pages."""
     g, q = _graph(spark, d), t.queries(spark, d)
@@ -436,6 +499,110 @@ def replay_stats(spark: SparkSession, d: str) -> DataFrame:
     return oplog.replay_stats(t.log(spark, d))
 
 
+def _engine(spark: SparkSession, d: str) -> Engine:
+    """An engine over the base whose store holds the whole log."""
+    e = Engine(spark, t.vectors(spark, d), store=OplogStore(spark, fresh(spark, "store")))
+    e.write_batch(t.log(spark, d))
+    return e
+
+
+def engine_search(spark: SparkSession, d: str) -> DataFrame:
+    """A search that sees a store's changes up to a sequence."""
+    return _rounded(_engine(spark, d).search_batch(t.queries(spark, d), K, t.cut(spark, d, 20)).hits)
+
+
+def engine_truth(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(_engine(spark, d).truth(t.queries(spark, d), K, t.cut(spark, d, 20)))
+
+
+def engine_writes(spark: SparkSession, d: str) -> DataFrame:
+    """Single inserts, updates and erasures, a batch, flushing, compaction, and the store opened anew."""
+    b = t.vectors(spark, d)
+    path, v = fresh(spark, "store"), list(b.where("id = 0").head()["v"])
+    e = Engine(spark, b, store=OplogStore(spark, path))
+    for node in (100_000, 100_001, 3):
+        e.insert(node, v)
+    e.erase(100_001)
+    e.flush()
+    e.update(3, v)
+    e = Engine(spark, b, store=OplogStore(spark, path))  # what was not flushed comes from the log
+    e.write_batch(t.log(spark, d).drop("seq").withColumn("order", F.col("node_id") * 1_000_000 + F.col("dim")).where("node_id % 2 = 0").select("order", "node_id", "v", "nbrs", "deleted").distinct())
+    e.compact()
+    e.erase(100_000)
+    e.flush()
+    return _heads(oplog.latest(OplogStore(spark, path).log())).select("node_id", "deleted", "dim")
+
+
+def store_compaction(spark: SparkSession, d: str) -> DataFrame:
+    """Three tables become one: counts, and what is left of the log."""
+    store = OplogStore(spark, fresh(spark, "store"))
+    log, third = t.log(spark, d), t.cut(spark, d, 3)
+    for part in (F.col("seq") <= third, (F.col("seq") > third) & (F.col("seq") <= 2 * third), F.col("seq") > 2 * third):
+        store.append(log.where(part))
+    done = store.compact()
+    left = OplogStore(spark, store.path).log().agg(F.count(F.lit(1)).alias("rows"), F.count_if("deleted").alias("deleted"), F.max("seq").alias("last"))
+    return left.select(F.lit(done["tables_in"]).cast("long").alias("tables_in"), F.lit(done["records_in"]).cast("long").alias("records_in"), F.lit(done["records_out"]).cast("long").alias("records_out"), "*")
+
+
+def log_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A binary log that is damaged in its middle: what a replay gives."""
+    path, half = fresh(spark, "log"), t.cut(spark, d, 40)
+    rows = t.log(spark, d).where(F.col("seq") <= half).orderBy("seq").toLocalIterator()
+    parts = [log_files.encode([r.asDict()]) for r in rows]
+    broken = bytearray(b"".join(parts))
+    broken[sum(map(len, parts[: len(parts) // 2])) - 1] ^= 1  # the last byte of a record
+    log_files.write(spark, bytes(broken), path)
+    return log_files.stats(log_files.read(spark, path))
+
+
+def old_log_replay(spark: SparkSession, d: str) -> DataFrame:
+    """A log of the older kind, written and read back."""
+    path = fresh(spark, "log")
+    rows = [r.asDict() for r in t.log(spark, d).where(F.col("seq") <= t.cut(spark, d, 40)).orderBy("seq").toLocalIterator()]
+    log_files.write(spark, log_files.encode_old(rows, 64), path)
+    return log_files.stats(log_files.read(spark, path, 64))
+
+
+def checksum_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """A log with checksums, damaged from the middle on in every seventh row: what is before the first damage, and what is intact."""
+    half = t.cut(spark, d, 2)
+    log = oplog.with_checksum(t.log(spark, d))
+    log = log.withColumn("checksum", F.when((F.col("seq") > half) & (F.col("seq") % 7 == 0), F.col("checksum") + 1).otherwise(F.col("checksum")))
+    counts = lambda df, name: df.agg(F.lit(name).alias("way"), F.count(F.lit(1)).alias("rows"), F.max("seq").alias("last"))
+    return counts(oplog.valid_prefix(log), "prefix").unionByName(counts(oplog.intact(log), "intact"))
+
+
+def _reads(spark: SparkSession, d: str) -> DataFrame:
+    """Every fiftieth event is a read of one of the queries, as of its place."""
+    n = t.queries(spark, d).agg(F.count(F.lit(1)).alias("n"))
+    e = t.read(spark, d, "events").where(F.col("event_id") % t.EVERY == 0).crossJoin(F.broadcast(n))
+    return e.select(F.col("event_id").alias("read"), (F.expr(f"event_id div {t.EVERY}") % F.col("n") * t.EVERY).alias("qid"), (F.col("event_id") + 1).alias("at"))
+
+
+def mixed_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of reads among writes, each as of its own sequence."""
+    hits, _ = workload.outcome(_engine(spark, d), _reads(spark, d), t.queries(spark, d), K)
+    return _rounded(hits)
+
+
+def mixed_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Of each such read, the recall, and the live and deleted nodes of the log that it sees."""
+    _, sampled = workload.outcome(_engine(spark, d), _reads(spark, d), t.queries(spark, d), K)
+    return sampled.select("qid", "at", F.round("recall", 6).alias("recall"), "visible", "deleted")
+
+
+def mixed_result(spark: SparkSession, d: str) -> DataFrame:
+    """A mixed run's row, without what depends on the clock."""
+    b, q = t.vectors(spark, d), t.queries(spark, d)
+    n = b.count()
+    ops = t.read(spark, d, "events").select((F.col("event_id") + 1).alias("seq"), F.when(F.col("event_id") % 4 == 0, "read").otherwise("write").alias("op"), F.when(F.col("event_id") % 4 == 0, F.expr(f"event_id div 4 % {q.count()} * {t.EVERY}")).alias("qid"), F.when(F.col("event_id") % 4 != 0, n + F.col("event_id")).alias("node_id"))
+    new = ops.where("op = 'write'").select("node_id", (F.col("node_id") * 31 % n).alias("id")).join(b, "id").select("node_id", F.transform("v", lambda x: -x).alias("v"))
+    e = Engine(spark, b, store=OplogStore(spark, fresh(spark, "store")))
+    r = workload.run(e, ops, q, new, K, "balanced", compact=True)
+    columns = ["scenario", "read_ops", "write_ops", "read_ratio", "recall_at_10", "recall_samples", "recall_read_sequence_min", "recall_read_sequence_max", "exact_delta_visible_count_avg", "sstable_count", "delta_record_count", "compaction_attempted", "compaction_count", "compaction_output_records"]
+    return workload.frame(spark, [r]).select(columns).withColumns({c: F.round(c, 6) for c in ("recall_at_10", "exact_delta_visible_count_avg", "read_ratio")})
+
+
 def stream_latest(spark: SparkSession, d: str) -> DataFrame:
     """The log through a file stream and an append sink, then the newest versions: equal to latest_versions."""
     from vecloom.streaming import ingest
@@ -523,6 +690,15 @@ def trace_split(spark: SparkSession, d: str) -> DataFrame:
     return tr.split(t.trace(spark, d), 0, 0, 0).groupBy("part").agg(F.count_distinct("query_id").alias("queries"))
 
 
+def trace_words(spark: SparkSession, d: str) -> DataFrame:
+    """Words for true, false and no value, and numbers among words."""
+    from vecloom.functions import stats
+
+    words = F.array(*map(F.lit, ("1", " True", "YES", "y", "on", "0", "false", "No", "n", "OFF", "-1", "", "null", "None", "nan", "t", "inf", "2.75", "-3.5", "9007199254740993")))
+    e = t.read(spark, d, "events").select("event_id", F.element_at(words, (F.col("event_id") % 20 + 1).cast("int")).alias("word"))
+    return e.select("event_id", stats.as_bool(F.col("word")).alias("flag"), stats.as_double(F.col("word")).alias("number"), stats.as_long(F.col("word")).alias("whole"))
+
+
 def tolerant_parsing(spark: SparkSession, d: str) -> DataFrame:
     """Numbers out of strings that may hold none."""
     from vecloom.functions import stats
@@ -541,6 +717,27 @@ def tree_scores(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).select("query_id", "step_id", "page_id", F.round("score", 6).alias("score"))
 
 
+#: The same model in other words: comments, another header, no header, and what stands behind a leaf's value.
+ODD_TREES = """# a model
+base_score=0.5  # in the middle
+0:[ num_candidates_on_page <2] yes=1,no=2,missing=1
+  1:leaf=-0.25,cover=3
+2:[min_pq_rank_on_page<3] yes=3,no=4,missing=4
+some words without a meaning
+3:leaf=0.5
+4:leaf=0.125
+tree[1]
+0:[unknown_feature<1] yes=1,no=2,missing=2,gain=1
+1:leaf=9
+2:leaf=0.0625
+"""
+
+
+def tree_scores_odd_dump(spark: SparkSession, d: str) -> DataFrame:
+    f = prefetch.page_features(t.ranked_pages(spark, d))
+    return f.select("query_id", "step_id", "page_id", F.round(Ensemble.parse(ODD_TREES).score(f.columns), 6).alias("score"))
+
+
 def rank_and_throttle(spark: SparkSession, d: str) -> DataFrame:
     out = prefetch.select_pages(_scored(spark, d), width=2, min_candidates=2, threshold=0.3, inflight_limit=3)
     return out.select("query_id", "step_id", "page_id", "prefetch_rank", "selected", "fallback", "skip_reason")
@@ -564,6 +761,26 @@ def trace_by_trigger(spark: SparkSession, d: str) -> DataFrame:
     return tr.summary(t.trace(spark, d), ["trigger"])
 
 
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """The trace as text, under other column names and with words for flags."""
+    x, flag = t.trace(spark, d), lambda c, yes, no: F.when(F.col(c) == 1, yes).otherwise(no)
+    time = lambda c: F.when(F.col(c) < 0, F.when(F.col("page_id") % 2 == 0, "-1").otherwise(" ")).otherwise(F.concat(F.lit(" "), F.col(c).cast("string")))
+    return x.select(
+        F.col("query_id").cast("string").alias("qid"), F.when(F.col("trigger") == "expand", "expand").otherwise("").alias("trigger"),
+        flag("was_prefetched", "On", "off").alias("prefetch_submitted"), flag("was_demanded", "YES", "None").alias("used"),
+        time("submit_time").alias("submit_time_us"), F.when(F.col("page_id") % 3 == 0, "nan").otherwise(time("ready_time")).alias("ready_time_us"), time("demand_time").alias("access_time"),
+        F.when(F.col("page_id") % 3 == 0, flag("was_prefetched", "y", "n")).alias("ready_before_demand"), flag("was_evicted_before_use", "1", "0").alias("prefetch_dropped"),
+    )
+
+
+def trace_analysis(spark: SparkSession, d: str) -> DataFrame:
+    return tr.analysis(_raw(spark, d))
+
+
+def trace_analysis_by_trigger(spark: SparkSession, d: str) -> DataFrame:
+    return tr.analysis(_raw(spark, d), ["trigger"])
+
+
 def query_accounting(spark: SparkSession, d: str) -> DataFrame:
     return prefetch.query_accounting(t.trace(spark, d))
 
@@ -589,14 +806,21 @@ def page_hot_score(spark: SparkSession, d: str) -> DataFrame:
 
 def cache_simulation(spark: SparkSession, d: str) -> DataFrame:
     """Hits of each cache policy over the pages of all queries; no SQL twin."""
-    pages = t.top(spark, d, 40).select(F.lit(0).alias("stream"), (F.col("qid") * 100 + F.col("rk")).alias("seq"), F.expr(f"id div {t.PER_PAGE}").alias("page_id"))
+    pages_ = t.top(spark, d, 40).select(F.lit(0).alias("stream"), (F.col("qid") * 100 + F.col("rk")).alias("seq"), F.expr(f"id div {t.PER_PAGE}").alias("page_id"))
     out = None
+    hot = {r["page_id"]: float(r["hot_score"]) for r in page_hot_score(spark, d).collect()}  # a row for each page of the layout
     for policy in prefetch.POLICIES:
-        one = prefetch.simulate_cache(pages, policy, 12).agg(F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("accesses"), F.count_if("hit").alias("hits"))
+        one = prefetch.simulate_cache(pages_, policy, 12, hot).agg(F.lit(policy).alias("policy"), F.count(F.lit(1)).alias("accesses"), F.count_if("hit").alias("hits"))
         out = one if out is None else out.unionByName(one)
     return out
 
 
+def cache_lru(spark: SparkSession, d: str) -> DataFrame:
+    """Which accesses hit a cache of twelve pages that drops the one used longest ago."""
+    pages_ = t.top(spark, d, 40).select(F.lit(0).alias("stream"), (F.col("qid") * 100 + F.col("rk")).alias("seq"), F.expr(f"id div {t.PER_PAGE}").alias("page_id"))
+    return prefetch.simulate_cache(pages_, "lru", 12).select("seq", "page_id", "hit")
+
+
 def stump_ensemble(spark: SparkSession, d: str) -> DataFrame:
     """Squared error before and after boosting; no SQL twin."""
     from vecloom.operators.trees import fit_stumps

@@ -30,6 +30,8 @@ class Engine:
     def __init__(self, spark: SparkSession, base: DataFrame, config: EngineConfig | None = None, store: OplogStore | None = None):
         self.spark, self.config, self.store = spark, config or EngineConfig(), store
         self.base = base.select(F.col("id").cast("long"), F.col("v").cast("array<double>").alias("v"))
+        if store:
+            store.flush_bytes = self.config.flush_bytes
         c, self.book, self.entries = self.config, None, []
         if c.mode in ("pq", "graph"):
             self.book = pq.fit(self.base, c.pq.subspaces, c.pq.centroids, c.pq.train_limit, c.pq.iterations, c.pq.seed)
@@ -69,6 +71,16 @@ class Engine:
         q = self.spark.createDataFrame([(0, [float(x) for x in vector])], "qid long, qv array<double>")
         return [(r["id"], r["dist"]) for r in self.search_batch(q, k).hits.orderBy("rk").collect()]
 
+    def search_as_of(self, reads: DataFrame, k: int | None = None) -> DataFrame:
+        """reads: qid, qv, at. Many reads, each as of its own sequence: the base's hits without what was overwritten by then, and what was written."""
+        k = self.config.search.k if k is None else k
+        if not self.store:
+            return self._base_top(reads.select("qid", "qv"), k)
+        return oplog.merged_as_of(self.base, self.store.log(), reads, k, self.config.dim, base_top=self._base_top(reads.select("qid", "qv"), k))
+
+    def truth_as_of(self, reads: DataFrame, k: int) -> DataFrame:
+        return oplog.exact_as_of(self.base, self.store.log() if self.store else self.spark.createDataFrame([], oplog.SCHEMA), reads, k, self.config.dim)
+
     def truth(self, queries: DataFrame, k: int, sequence: int | None = None) -> DataFrame:
         """The exact result over all that is live."""
         seq = self.sequence() if sequence is None else sequence
@@ -77,18 +89,18 @@ class Engine:
     def _write(self, rows: list[tuple]) -> int:
         if not self.store:
             raise ValueError("changes need a store")
-        return self.store.append(self.spark.createDataFrame(rows, OPS))
+        return self.store.put(rows)
 
     def insert(self, node_id: int, vector: list[float], neighbors: list[int] | None = None) -> int:
         """Writes a vector, new or not; gives its sequence."""
         if len(vector) != self.config.dim:
             raise ValueError(f"dimension {len(vector)} instead of {self.config.dim}")
-        return self._write([(0, node_id, [float(x) for x in vector], neighbors, False)])
+        return self._write([(node_id, [float(x) for x in vector], neighbors, False)])
 
     update = insert
 
     def erase(self, node_id: int) -> int:
-        return self._write([(0, node_id, None, None, True)])
+        return self._write([(node_id, None, None, True)])
 
     def write_batch(self, ops: DataFrame) -> int:
         """Many changes at once: order, node_id, v, nbrs, deleted."""
@@ -100,6 +112,12 @@ class Engine:
         """What a memtable of the whole log would take."""
         return oplog.memtable(self.store.log()).agg(F.coalesce(F.sum("bytes"), F.lit(0))).head()[0] if self.store else 0
 
+    def flush(self) -> bool:
+        """Makes single writes a table. Whether there were any."""
+        if not self.store:
+            raise ValueError("changes need a store")
+        return self.store.flush()
+
     def compact(self, retain_from: int | None = None) -> dict:
         if not self.store:
             raise ValueError("changes need a store")

@@ -93,6 +93,22 @@ LIVE = "live AS MATERIALIZED (SELECT id, v FROM b WHERE id NOT IN (SELECT node_i
 DYNAMIC = f"dynamic AS MATERIALIZED ({ranked('SELECT qid, id, ' + l2('v', 'qv') + ' AS dist FROM live, q', 10)})"
 AT20 = newest(f"seq <= {cut(20)}")
 
+#: Reads of queries among the writes of the log, and what each sees.
+READS = (
+    "reads AS MATERIALIZED (SELECT event_id AS read, (event_id // 50) % (SELECT count(*) FROM q) * 50 AS asked, event_id + 1 AS at FROM events WHERE event_id % 50 = 0)",
+    "spans AS MATERIALIZED (SELECT node_id, seq AS since, coalesce(lead(seq) OVER (PARTITION BY node_id ORDER BY seq), 9223372036854775807) AS until, v, deleted FROM log)",
+    "versions AS MATERIALIZED (SELECT * FROM spans WHERE NOT deleted)",
+    "erased AS MATERIALIZED (SELECT * FROM spans WHERE deleted)",
+    "touched AS MATERIALIZED (SELECT node_id, min(seq) AS first FROM log GROUP BY node_id)",
+    f"fresh AS MATERIALIZED ({ranked('SELECT r.read AS qid, v.node_id AS id, ' + l2('v.v', 'q.qv') + ' AS dist FROM reads r JOIN q ON q.qid = r.asked JOIN versions v ON v.since <= r.at AND r.at < v.until', 10)})",
+    "stale AS MATERIALIZED (SELECT r.read AS qid, t.id, t.dist FROM reads r JOIN top t ON t.qid = r.asked LEFT JOIN touched w ON w.node_id = t.id WHERE w.first IS NULL OR w.first > r.at)",
+    f"found AS MATERIALIZED ({ranked('SELECT qid, id, dist FROM stale UNION ALL SELECT qid, id, dist FROM fresh', 10)})",
+)
+READ_TRUTH = (
+    f"old AS MATERIALIZED ({ranked('SELECT r.read AS qid, b.id, ' + l2('b.v', 'q.qv') + ' AS dist FROM reads r JOIN q ON q.qid = r.asked CROSS JOIN b LEFT JOIN touched w ON w.node_id = b.id WHERE w.first IS NULL OR w.first > r.at', 10)})",
+    f"truth AS MATERIALIZED ({ranked('SELECT qid, id, dist FROM old UNION ALL SELECT qid, id, dist FROM fresh', 10)})",
+)
+
 PAGES = "ranked AS MATERIALIZED (SELECT qid AS query_id, (rk - 1) // 10 AS step_id, id // 8 AS page_id, (rk - 1) % 10 AS pq_rank FROM top40)"
 FEATURES = (
     "features AS MATERIALIZED (SELECT query_id, step_id, page_id, count(*) AS num_candidates_on_page, min(pq_rank) AS min_pq_rank_on_page, round(avg(pq_rank), 6) AS avg_pq_rank_on_page, "
@@ -126,6 +142,20 @@ def summary(by: str = "") -> str:
     return f"SELECT *, {rate('used', 'submitted')} AS used_rate, {rate('unused', 'submitted')} AS unused_rate, {rate('ready_hits', 'used')} AS ready_rate, {rate('pending_hits', 'used')} AS pending_rate, {rate('overlap', 'submitted')} AS overlap_rate FROM ({counts})"
 
 
+def analysis(by: str = "") -> str:
+    """Of the raw form of the trace: times of pages divisible by three that were to be ready are lost, their flag is whether they were fetched."""
+    rows = f"SELECT {by + ', ' if by else ''}query_id, f, d, CASE WHEN f AND page_id % 3 <> 0 THEN ready_time END AS r, CASE WHEN d THEN demand_time END AS a, f AND page_id % 3 = 0 AS flag, dropped FROM trace"
+    name = by.rpartition(" ")[2]
+    counts = (
+        f"SELECT {name + ', ' if by else ''}count(*) AS rows, count(DISTINCT query_id) AS queries, count_if(f) AS prefetch_submitted, count_if(f AND r IS NOT NULL) AS prefetch_ready, count_if(f AND d) AS prefetch_used, count_if(t) AS prefetch_ready_before_demand, "
+        "count_if(f AND d AND NOT t) AS prefetch_pending_at_demand, count_if(f AND NOT d) AS prefetch_unused, count_if(f AND dropped) AS prefetch_dropped, round(avg(lead), 6) AS avg_lead_time_us, "
+        + ", ".join(f"quantile_disc(lead, {p})::DOUBLE AS {n}_lead_time_us" for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99")))
+        + f" FROM (SELECT *, CASE WHEN t THEN a - r END AS lead FROM (SELECT *, f AND d AND coalesce(r < a, flag) AS t FROM ({rows}))) {'GROUP BY ' + name if by else ''}"
+    )
+    rate = lambda a, b: f"round({a} / nullif({b}, 0)::DOUBLE, 6)"
+    return f"SELECT *, {rate('prefetch_ready_before_demand', 'prefetch_submitted')} AS ready_hit_rate, {rate('prefetch_pending_at_demand', 'prefetch_used')} AS pending_hit_rate, {rate('prefetch_used', 'prefetch_submitted')} AS useful_rate, {rate('prefetch_unused', 'prefetch_submitted')} AS waste_rate, {rate('prefetch_dropped', 'prefetch_submitted')} AS drop_rate FROM ({counts})"
+
+
 def replayed(score: str, k: int = 2) -> str:
     return (
         f"SELECT count_if(i <= {k}) AS selected, count_if(i <= {k} AND d) AS useful, count_if(d) AS demanded, round(count_if(i <= {k} AND d) / count_if(i <= {k})::DOUBLE, 6) AS precision, "
@@ -283,4 +313,47 @@ ORACLES = {
     "page_batch": ctes(B, Q, TOP40, PAGES) + "SELECT DISTINCT page_id, CASE WHEN page_id % 3 = 0 THEN 'cached' WHEN page_id % 2 = 0 THEN 'pending' ELSE 'missing' END AS state FROM ranked",
     "trace_split": "WITH n AS (SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0) SELECT unnest(['train', 'valid', 'test']) AS part, unnest([n * 6 // 10, n * 2 // 10, n - n * 6 // 10 - n * 2 // 10]) AS queries FROM n",
     "tolerant_parsing": "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN event_id END AS as_long, event_id % 2 = 0 AS as_bool FROM events",
+    "entries_by_strategy": ctes(B, "n AS (SELECT count(*) AS n FROM b)", "c AS (SELECT d, avg(x) AS x FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM b) GROUP BY d)", "mean AS (SELECT list(x ORDER BY d) AS c FROM c)")
+    + f"(SELECT 'single' AS strategy, 0 AS pos, id FROM b, mean ORDER BY round({l2('v', 'c')}, 9), id LIMIT 1) UNION ALL SELECT 'even', i::INT, i * (n - 1) // 8 FROM n, range(9) r(i)",
+    "cluster_medoids_one_iteration": ctes(
+        B, "n AS (SELECT count(*) AS n FROM b)", "c0 AS MATERIALIZED (SELECT i AS c, v AS cv FROM n, range(8) r(i), b WHERE b.id = i * n // 8)",
+        f"near AS MATERIALIZED (SELECT id, v, c FROM b, c0 QUALIFY row_number() OVER (PARTITION BY id ORDER BY round({l2('v', 'cv')}, 9), c) = 1)",
+        "m AS MATERIALIZED (SELECT c, list(x ORDER BY d) AS cv FROM (SELECT c, d, avg(x) AS x FROM (SELECT c, unnest(v) AS x, generate_subscripts(v, 1) AS d FROM near) GROUP BY c, d) GROUP BY c)",
+    ) + f"SELECT (row_number() OVER (ORDER BY c) - 1)::INT AS pos, id FROM (SELECT c, id FROM near JOIN m USING (c) QUALIFY row_number() OVER (PARTITION BY c ORDER BY round({l2('v', 'cv')}, 9), id) = 1)",
+    "ivf_insert": ctes(B, CELLS, PLACED) + "SELECT id, c, (SELECT count(*) FROM b WHERE id % 2 = 1) AS dirty FROM placed",
+    "build_stats": ctes(
+        B, RP, "near AS MATERIALIZED (SELECT src, dst, " + l2("x.v", "y.v") + " AS dist FROM rp JOIN b x ON x.id = src JOIN b y ON y.id = dst WHERE (src + dst) % 3 <> 0)",
+        "e0 AS MATERIALIZED (SELECT src, dst FROM near QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 6)", "every AS (SELECT src, dst FROM e0 UNION SELECT dst, src FROM e0)", "touched AS (SELECT DISTINCT dst AS id FROM e0)",
+        f"grown AS MATERIALIZED (SELECT src, dst FROM (SELECT src, dst, {l2('x.v', 'y.v')} AS dist FROM every JOIN b x ON x.id = src JOIN b y ON y.id = dst WHERE src IN (SELECT id FROM touched)) QUALIFY row_number() OVER (PARTITION BY src ORDER BY dist, dst) <= 6)",
+        "e AS MATERIALIZED (SELECT * FROM grown UNION ALL SELECT * FROM e0 WHERE src NOT IN (SELECT id FROM touched))", "cands AS MATERIALIZED (SELECT src, dst FROM rp WHERE (src + dst) % 3 <> 0 AND src % 5 <> 0)",
+        "degrees AS (SELECT b.id, count(e.dst) AS n FROM b LEFT JOIN e ON e.src = b.id GROUP BY b.id)", "counts AS (SELECT b.id, count(k.dst) AS n FROM b LEFT JOIN cands k ON k.src = b.id GROUP BY b.id)", "kept AS (SELECT count(*) AS n FROM e JOIN cands USING (src, dst))",
+    ) + "SELECT (SELECT count(*) FROM degrees) AS nodes, (SELECT round(avg(n), 6) FROM degrees) AS avg_degree, (SELECT max(n) FROM degrees) AS max_degree, (SELECT round(avg(n), 6) FROM counts) AS candidate_avg, (SELECT round(quantile_cont(n, 0.95), 6) FROM counts) AS candidate_p95, "
+    "(SELECT round(quantile_cont(n, 0.99), 6) FROM counts) AS candidate_p99, (SELECT count(*) FROM cands) - n AS pruned, (SELECT count(*) FROM e) - n AS reverse_added FROM kept",
+    "page_codec": ctes(B, graph(8), "x AS (SELECT src, string_agg(dst::VARCHAR, ',' ORDER BY pos) AS nbrs FROM e GROUP BY src)") + "SELECT id // 13 AS page_id, (id % 13)::INT AS slot, id, nbrs, round(list_sum(v), 4) AS total FROM b JOIN x ON src = id",
+    "node_records": "SELECT vec_id AS id, (vec_id + 1) || ',' || (vec_id * 2 + 2) || ',' || (vec_id * 3 + 3) AS nbrs, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings",
+    "engine_search": ctes(B, Q, TOP, LOG, AT20, DELTA, MERGED) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM merged",
+    "engine_truth": ctes(B, Q, LOG, AT20, LIVE, DYNAMIC) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM dynamic",
+    "engine_writes": ctes(LOG, "batch AS (SELECT node_id, max(dim) AS dim FROM log WHERE node_id % 2 = 0 GROUP BY node_id)")
+    + "SELECT node_id, dim = 0 AS deleted, dim FROM batch UNION ALL SELECT * FROM (VALUES (100000, TRUE, 0), (100001, TRUE, 0), (3, FALSE, 64)) t(node_id, deleted, dim)",
+    "store_compaction": ctes(LOG, newest()) + "SELECT 3 AS tables_in, (SELECT count(*) FROM log) AS records_in, count(*) AS records_out, count(*) AS rows, count_if(deleted) AS deleted, max(seq) AS last FROM now_",
+    "log_replay": ctes(LOG, f"part AS (SELECT *, row_number() OVER (ORDER BY seq) AS i, count(*) OVER () AS n FROM log WHERE seq <= {cut(40)})")
+    + "SELECT count(*) AS records, count_if(NOT deleted) AS inserts, count_if(deleted) AS deletes, max(node_id) AS max_node, max(seq) + 1 AS next_sequence FROM part WHERE i < n // 2",
+    "old_log_replay": ctes(LOG) + f"SELECT count(*) AS records, count_if(NOT deleted) AS inserts, count_if(deleted) AS deletes, max(node_id) AS max_node, count(*) + 1 AS next_sequence FROM log WHERE seq <= {cut(40)}",
+    "checksum_prefix": ctes(LOG, f"bad AS (SELECT seq FROM log WHERE seq > {cut(2)} AND seq % 7 = 0)")
+    + "SELECT 'prefix' AS way, count(*) AS rows, max(seq) AS last FROM log WHERE seq < (SELECT min(seq) FROM bad) UNION ALL SELECT 'intact', count(*), max(seq) FROM log WHERE seq NOT IN (SELECT seq FROM bad)",
+    "mixed_reads": ctes(B, Q, TOP, LOG, *READS) + "SELECT qid, id, round(dist, 6) AS dist, rk FROM found",
+    "mixed_recall": ctes(B, Q, TOP, LOG, *READS, *READ_TRUTH, "good AS (SELECT t.qid, count(f.id) / count(*)::DOUBLE AS recall FROM truth t LEFT JOIN found f ON f.qid = t.qid AND f.id = t.id GROUP BY t.qid)",
+    "seen AS (SELECT r.read, count(DISTINCT v.node_id) AS visible FROM reads r LEFT JOIN versions v ON v.since <= r.at AND r.at < v.until GROUP BY r.read)",
+    "gone AS (SELECT r.read, count(DISTINCT d.node_id) AS deleted FROM reads r LEFT JOIN erased d ON d.since <= r.at AND r.at < d.until GROUP BY r.read)")
+    + "SELECT r.read AS qid, r.at, round(recall, 6) AS recall, visible, deleted FROM reads r JOIN good ON good.qid = r.read JOIN seen USING (read) JOIN gone USING (read)",
+    "mixed_result": "WITH o AS (SELECT event_id + 1 AS s, event_id % 4 = 0 AS r FROM events), w AS (SELECT *, count_if(NOT r) OVER (ORDER BY s) AS written FROM o) "
+    "SELECT 'balanced' AS scenario, count_if(r) AS read_ops, count_if(NOT r) AS write_ops, round(count_if(r) / count(*)::DOUBLE, 6) AS read_ratio, 1.0::DOUBLE AS recall_at_10, count_if(r) AS recall_samples, min(s) FILTER (r) AS recall_read_sequence_min, "
+    "max(s) FILTER (r) AS recall_read_sequence_max, round(avg(written) FILTER (r), 6) AS exact_delta_visible_count_avg, 1 AS sstable_count, count_if(NOT r) AS delta_record_count, 1 AS compaction_attempted, 0 AS compaction_count, 0 AS compaction_output_records FROM w",
+    "trace_analysis": ctes(B, Q, TOP40, PAGES, FEATURES, TRACE) + analysis(),
+    "trace_analysis_by_trigger": ctes(B, Q, TOP40, PAGES, FEATURES, TRACE) + analysis("CASE WHEN trigger = 'expand' THEN 'expand' ELSE 'unknown' END AS trigger"),
+    "trace_words": "WITH w AS (SELECT event_id, ['1', ' True', 'YES', 'y', 'on', '0', 'false', 'No', 'n', 'OFF', '-1', '', 'null', 'None', 'nan', 't', 'inf', '2.75', '-3.5', '9007199254740993'][event_id % 20 + 1] AS word, event_id % 20 AS i FROM events) "
+    "SELECT event_id, CASE WHEN i < 5 THEN TRUE WHEN i < 11 THEN FALSE END AS flag, CASE WHEN i IN (0, 5, 17, 18, 19) THEN word::DOUBLE END AS number, CASE i WHEN 0 THEN 1 WHEN 5 THEN 0 WHEN 17 THEN 2 WHEN 18 THEN -3 WHEN 19 THEN 9007199254740993 END AS whole FROM w",
+    "tree_scores_odd_dump": ctes(B, Q, TOP40, PAGES, FEATURES, SCORED) + "SELECT query_id, step_id, page_id, round(score, 6) AS score FROM scored",
+    "cache_lru": ctes(B, Q, TOP40, "a AS MATERIALIZED (SELECT qid * 100 + rk AS seq, id // 8 AS page_id FROM top40)", "p AS MATERIALIZED (SELECT *, lag(seq) OVER (PARTITION BY page_id ORDER BY seq) AS before FROM a)")
+    + "SELECT seq, page_id, coalesce((SELECT count(DISTINCT x.page_id) FROM a x WHERE x.seq > p.before AND x.seq < p.seq) < 12 AND before IS NOT NULL, FALSE) AS hit FROM p",
 }
