@@ -7,10 +7,12 @@ cells. A search runs in every shard and the ranked lists are merged. Index rows:
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vecloom.functions.vectors import nodes_per_page, squared_l2
@@ -85,15 +87,27 @@ def prune(candidates: DataFrame, base: DataFrame, degree: int, alpha: float) ->
     """Robust prune of each node's candidates (src, dst): src, pos, dst in pick order."""
     a = base.select(F.col("id").alias("src"), F.col("v").cast("array<double>").alias("sv"))
     b = base.select(F.col("id").alias("dst"), F.col("v").cast("array<double>").alias("dv"))
-    joined = candidates.select("src", "dst").distinct().join(b, "dst").join(a, "src")
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("dst")
-        v = np.vstack([np.stack(rows["dv"].to_numpy()), rows["sv"].iloc[0]])
-        picked = kernels.robust_prune(v, len(rows), range(len(rows)), degree, alpha)
-        return pd.DataFrame({"src": rows["src"].iloc[0], "pos": range(len(picked)), "dst": rows["dst"].to_numpy()[picked]})
-
-    return joined.groupBy("src").applyInPandas(one, "src long, pos int, dst long")
+    held = candidates.select("src", "dst").distinct().join(b, "dst").groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "dv"))).alias("c"))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Many nodes a batch; each one's candidates are a slice of two flat columns."""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            near, own = batch.column(1), kmeans.matrix(batch, 2)
+            ends, flat = near.offsets.to_numpy(), near.values
+            dst = flat.field(0).to_numpy(zero_copy_only=False)
+            v = np.asarray(flat.field(1).flatten().to_numpy(zero_copy_only=False), float).reshape(len(dst), -1)
+            out = []
+            for src, a, z, q in zip(batch.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), own):
+                picked = kernels.robust_prune(np.vstack([v[a:z], q]), z - a, range(z - a), degree, alpha)
+                out.append((src, dst[a:z][picked]))
+            n = [len(x) for _, x in out]
+            columns = np.repeat([s for s, _ in out], n), np.concatenate([np.arange(k) for k in n]), np.concatenate([x for _, x in out])
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["src", "pos", "dst"])
+
+    # Candidates of a node are bounded by the candidate limit.
+    return held.join(a, "src").select(F.col("src").cast("long"), "c", "sv").mapInArrow(kernel, "src long, pos int, dst long")
 
 
 def build(base: DataFrame, config: BuildConfig | None = None, deleted: DataFrame | None = None) -> DataFrame:

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 TOP = 4
 POLICIES = ("none", "lru", "2q", "graph-aware-2q", "agent")
@@ -79,39 +83,38 @@ def select_pages(features: DataFrame, width: int, min_candidates: int = 2, thres
 def plan(features: DataFrame, **how) -> DataFrame:
     """select_pages step by step: a page selected in an earlier step of a query is skipped as seen_before. Selection never depends on a later step, so one pass by query suffices."""
     schema = select_pages(features.limit(0), **{**how}).schema
-    columns = [f.name for f in schema]
+    given = features.columns
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        seen: set = set()
-        done = []
-        for _, step in rows.sort_values("step_id").groupby("step_id"):
-            done.append(_select_step(step.copy(), seen, how)[columns])
-        return pd.concat(done)
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for rows in b.column(0).to_pylist():
+                seen: set = set()
+                for _, step in groupby(sorted(rows, key=lambda r: r["step_id"]), key=lambda r: r["step_id"]):
+                    out += _select_step(list(step), seen, how)
+            yield pa.RecordBatch.from_pylist(out, to_arrow_schema(schema))
 
-    return features.groupBy("query_id").applyInPandas(run, schema)
+    # The pages of a query are few, and many queries are planned in a batch.
+    held = features.groupBy("query_id").agg(F.collect_list(F.struct(*given)).alias("rows"))
+    return held.select("rows").mapInArrow(kernel, schema)
 
 
-def _select_step(step: pd.DataFrame, seen: set, how: dict) -> pd.DataFrame:
+def _select_step(step: list[dict], seen: set, how: dict) -> list[dict]:
     width, least, threshold = how["width"], how.get("min_candidates", 2), how.get("threshold", -math.inf)
     limit = how.get("inflight_limit", 0)
     room = limit - how.get("inflight", 0) if limit > 0 else math.inf
-    step = step.sort_values(["score", "num_candidates_on_page", "min_pq_rank_on_page", "page_id"], ascending=[False, False, True, True])
-    step["prefetch_rank"] = range(1, len(step) + 1)
-    why, chosen = [], []
-    for r in step.itertuples():
-        reason = r.skip_reason or ("seen_before" if r.page_id in seen else "low_page_reuse" if r.num_candidates_on_page < least else "score_threshold" if r.score < threshold else "")
-        if not reason:
-            reason = "budget_full" if 0 < width <= len(chosen) else "inflight_full" if len(chosen) >= room else ""
-            if not reason:
-                chosen.append(r.page_id)
-        why.append(reason)
-    back = None
-    if not chosen and room > 0 and how.get("allow_fallback", True):
-        back = next((i for i, (w, s) in enumerate(zip(why, step["score"])) if w == "low_page_reuse" and s >= threshold), None)
-    step["fallback"] = [i == back for i in range(len(step))]
-    step["selected"] = [not w or i == back for i, w in enumerate(why)]
-    step["skip_reason"] = ["" if i == back else w for i, w in enumerate(why)]
-    seen.update(step.loc[step["selected"], "page_id"])
+    step.sort(key=lambda r: (-r["score"], -r["num_candidates_on_page"], r["min_pq_rank_on_page"], r["page_id"]))
+    taken = 0
+    for i, r in enumerate(step, 1):
+        why = r["skip_reason"] or ("seen_before" if r["page_id"] in seen else "low_page_reuse" if r["num_candidates_on_page"] < least else "score_threshold" if r["score"] < threshold else "")
+        why = why or ("budget_full" if 0 < width <= taken else "inflight_full" if taken >= room else "")
+        taken += not why
+        r |= {"prefetch_rank": i, "selected": not why, "fallback": False, "skip_reason": why}
+    if not taken and room > 0 and how.get("allow_fallback", True):
+        back = next((r for r in step if r["skip_reason"] == "low_page_reuse" and r["score"] >= threshold), None)
+        if back:
+            back |= {"selected": True, "fallback": True, "skip_reason": ""}
+    seen.update(r["page_id"] for r in step if r["selected"])
     return step
 
 
