@@ -30,6 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from vecloom.llm import near_copies
 from vecloom.llm.common import at, materialize, texts
 from vecloom.llm.components import components, spanning
 
@@ -197,3 +198,8 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ranked = classified(slim, bucket).select("root", F.struct(F.col("id").isNull().alias("none"), "id", "rid").alias("o"))
     winners = ranked.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("rid"))
     return found.join(winners, "rid", "left_semi").select(*(F.col("row")[c].alias(c) for c in docs.columns))
+
+
+def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = near_copies.SIMILARITY) -> DataFrame:
+    """keep_first by similarity on five-word shingles instead of by two bits, which is what texts at 0.8 need: SimHash sifts, and near_copies tells how candidates are found."""
+    return near_copies.keep_first(docs, id_col, text_col, similarity)
