@@ -98,16 +98,28 @@ def lloyd(base: DataFrame, centroids: np.ndarray, iterations: int, reseed: bool
     return c
 
 
-def farthest_first(base: DataFrame, count: int, first: int = 0) -> list[tuple[int, list[float]]]:
-    """Centroids by farthest-first traversal from vector `first`: each next one is farthest from all before (smallest id on a tie)."""
+def farthest_first(base: DataFrame, count: int, first: int = 0, ahead: int = 256) -> list[tuple[int, list[float]]]:
+    """Centroids by farthest-first traversal from vector `first`: each next one is farthest from all before (smallest id on a tie).
+
+    A pass over the table gives the `ahead` farthest vectors. Distances only fall as centroids come, so as long as one of these
+    is still farther than the last of them was, it is the next, and no other pass is needed.
+    """
     start = base.where(F.col("id") == first).select("id", F.col("v").cast("array<double>")).head()
     if start is None:
         raise ValueError(f"no vector {first}")
     chosen = [(start[0], list(start[1]))]
     while len(chosen) < count:
-        near = _least(base, np.array([v for _, v in chosen]))
-        row = near.orderBy(F.desc("least"), "id").limit(1).collect()[0]
-        chosen.append((row["id"], list(row["v"])))
+        rows = _least(base, np.array([v for _, v in chosen])).orderBy(F.desc("least"), "id").limit(ahead).collect()
+        ids, v, least = [r["id"] for r in rows], np.array([r["v"] for r in rows]), np.array([r["least"] for r in rows])
+        bound = least[-1] if len(rows) == ahead else -1.0
+        taken = False
+        while len(chosen) < count:
+            i = min(range(len(rows)), key=lambda i: (-least[i], ids[i]))
+            if taken and least[i] <= bound:
+                break
+            taken = True
+            chosen.append((ids[i], v[i].tolist()))
+            least = np.minimum(least, np.round(((v - v[i]) ** 2).sum(1), DIGITS))
     return chosen
 
 
