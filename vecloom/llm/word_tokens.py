@@ -18,8 +18,8 @@ SAFE = re.compile(r"[\t\n\r -~À-ÖØ-öø-ÿ]*")
 WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 GAP = re.compile(r"[ \t\n\r]+")
 SPECIAL, LAST = "<|", "</w>"
-#: Words kept at most, twice over, and the longest that are; about 20 MB each.
-CACHED, LONGEST = 100_000, 64
+#: Words kept at most, twice over, and the longest that are; about 60 MB each.
+CACHED, LONGEST = 400_000, 64
 #: Characters of texts whose words are looked up together.
 TOGETHER = 1 << 18
 
