@@ -71,17 +71,24 @@ class IvfFlat:
 
             def kernel(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
                 qid, q, asked = sent.value
-                best = knn.Best(len(qid), k)
+                best, norms = knn.Best(len(qid), k), (q * q).sum(1)
                 for b in batches:
-                    ids, v, own = b.column(0).to_numpy(zero_copy_only=False), kmeans.matrix(b, 1), b.column(2).to_numpy(zero_copy_only=False)
+                    ids, all_, own = b.column(0).to_numpy(zero_copy_only=False), kmeans.matrix(b, 1), b.column(2).to_numpy(zero_copy_only=False)
+                    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                     for j in np.unique(own).tolist() if k > 0 else []:
-                        mine, at = np.nonzero(own == j)[0], asked.get(j, ())
-                        step = max(1, knn.BLOCK_CELLS // (max(1, len(at)) * q.shape[1]))
+                        mine, at = np.nonzero(own == j)[0], asked.get(j, np.empty(0, np.int64))
+                        step = max(1, knn.BLOCK_CELLS // max(1, len(at)))
                         for a in range(0, len(mine) if len(at) else 0, step):
                             rows = mine[a : a + step]
-                            dist = ((q[at][:, None] - v[rows][None]) ** 2).sum(2)
-                            some = np.nonzero(dist <= best.limit[at][:, None])
-                            best.offer(at[some[0]], dist[some], ids[rows][some[1]])
+                            v = all_[rows]
+                            # Matrix products tell what may rank; that is taken exactly.
+                            near = norms[at][:, None] + (v * v).sum(1) - 2 * q[at] @ v.T
+                            n = min(k, len(rows))
+                            cut = np.minimum(np.partition(near, n - 1, axis=1)[:, n - 1], best.limit[at]) + 1e-9 * (1 + norms[at])
+                            x, y = np.nonzero(near <= cut[:, None])
+                            found.append((at[x], ((v[y] - q[at[x]]) ** 2).sum(1), ids[rows[y]]))
+                    if found:
+                        best.offer(*(np.concatenate(c) for c in zip(*found)))
                 yield best.batch(qid)
 
             probed = sorted(j for j, x in asked.items() if len(x))

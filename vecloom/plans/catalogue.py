@@ -380,9 +380,9 @@ def _ann(spark: SparkSession, d: str) -> list[tuple[str, DataFrame]]:
     g, book = _graph(spark, d), pq.fit(b, 16, 64)
     return [
         ("graph", index.search(g, q, K, width=256, beam=8)),
-        ("graph_pq", index.search(g, q, K, width=256, beam=8, rerank=100, book=book)),
-        ("pq_rerank", pq.search(b, pq.encode(b, book), q, book, K, 100)),
-        ("ivf", ivf.IvfFlat.build(b, 16).search(q, K, nprobe=12)),
+        ("graph_pq", index.search(g, q, K, width=256, beam=8, rerank=200, book=book)),
+        ("pq_rerank", pq.search(b, pq.encode(b, book), q, book, K, 200)),
+        ("ivf", ivf.IvfFlat.build(b, 16).search(q, K, nprobe=14)),
     ]
 
 
