@@ -72,12 +72,17 @@ def cleaning(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet to the shared folder and reads it back. It outlives lost executors."""
+#: Intermediate tables on a mounted folder go without the side files of checksums, each of which would cost the executor
+#: a child process that sets its permissions; Parquet pages have checksums of their own. Other file systems don't see this.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true", "parquet.page.write-checksum.enabled": "true"}
+
+
+def materialize(df: DataFrame, tag: str, even: bool = False) -> DataFrame:
+    """Cuts lineage: writes df as Parquet to the shared folder and reads it back. It outlives lost executors. With `even`, many small parts become few."""
     spark = df.sparkSession
     path = scratch(spark, tag)
     with cleaning(spark):
-        df.write.parquet(path)
+        (df.hint("rebalance") if even else df).write.options(**PLAIN).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

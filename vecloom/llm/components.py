@@ -78,7 +78,7 @@ def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     Each round contracts links inside tasks of at most task_links, then, if more than one task was needed, applies the
     large-star and small-star steps across tasks. It ends when a round changes nothing. Nothing is collected.
     """
-    links = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links")
+    links = materialize(links.select("a", "b").where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "links", even=True)
     before = None
     while True:
         n, mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
