@@ -178,7 +178,8 @@ def read_pieces(packed: DataFrame, id_col: str = "doc_id", with_ids: bool = Fals
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32())]
         for b in batches:
-            for r in b.to_pylist():
+            for i in range(b.num_rows):  # blocks are large: one at a time
+                r = b.slice(i, 1).to_pylist()[0]
                 cu = np.frombuffer(r["cu_seqlens"], "<i4").astype(np.int64)
                 kind = "<u2" if len(r["ids"]) == 2 * r["rows"] * r["width"] else "<u4"
                 ids, positions = np.frombuffer(r["ids"], kind).astype("<u4"), np.frombuffer(r["positions"], kind)
