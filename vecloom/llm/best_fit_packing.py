@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from vecloom.llm.common import at, texts
 
 WIDTH = 2048
-BUFFER = 1 << 21
+BUFFER = 1 << 19
 END_ID = 50256
 LONG_GAP = 1 << 15
 #: Fixed value: how the vocabulary's text is cut into words.
