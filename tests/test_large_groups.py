@@ -1,10 +1,13 @@
-"""What only tables beyond a bound show."""
+"""What only tables beyond a bound show: full buckets, several shards, deep reranking."""
+
+from functools import partial
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from vecloom.operators.graph import candidates as cand
-from vecloom.plans import catalogue
+from twins import compare, views
+from vecloom.operators.graph import candidates as cand, index
+from vecloom.plans import catalogue, oracles
 
 
 @pytest.mark.parametrize("name", ["lsh_candidates", "lsh_probe1"])
@@ -22,3 +25,9 @@ def test_pairs_without_a_limit(spark, radius):
     base = spark.createDataFrame([(i * 3, x.tolist()) for i, x in enumerate(rng.normal(size=(200, 6)))], "id long, v array<double>")
     pairs = lambda **x: sorted(tuple(r) for r in cand.lsh(base, 5, 4, radius, seed=7, **x).collect())
     assert pairs(bucket_limit=None) == pairs(bucket_limit=1000)
+
+
+def test_packing_of_several_shards(spark, sf, monkeypatch):
+    monkeypatch.setattr(index, "vamana", partial(index.vamana, shard_rows=120))
+    assert catalogue._graph(spark, sf).select("shard").distinct().count() > 2
+    compare(catalogue.graph_packing(spark, sf), views(sf), oracles.ORACLES["graph_packing"])

@@ -228,9 +228,12 @@ def order(index: DataFrame, packing: str = "bfs", per_page: int = 2, seed: int =
     return index.select("shard", "id", "nbrs").groupBy("shard").applyInPandas(one, "shard int, id long, pos long")
 
 
-def pages(ordered: DataFrame, per_page: int) -> DataFrame:
-    """shard, id, page_id, slot."""
-    return ordered.select("shard", "id", F.expr(f"pos div {per_page}").alias("page_id"), (F.col("pos") % per_page).cast("int").alias("slot"))
+def pages(ordered: DataFrame, per_page: int, nodes: DataFrame | None = None) -> DataFrame:
+    """shard, id, page_id, slot. Shards follow each other on full pages, so a place is one node's and only the last page may have room. nodes: the index, whose rows by shard are cheaper to count than those of `ordered`."""
+    sizes = (ordered if nodes is None else nodes).groupBy("shard").agg(F.count(F.lit(1)).alias("n"))  # a row for each shard
+    before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
+    placed = ordered.join(F.broadcast(sizes.select("shard", before.alias("before"))), "shard")
+    return placed.select("shard", "id", (F.col("before") + F.col("pos")).alias("at")).select("shard", "id", F.expr(f"at div {per_page}").alias("page_id"), (F.col("at") % per_page).cast("int").alias("slot"))
 
 
 def covered(ordered: DataFrame, index: DataFrame) -> bool:
@@ -245,7 +248,7 @@ def save(index: DataFrame, path: str, config: BuildConfig | None = None, code_by
     c = config or BuildConfig()
     head = index.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim")).first()
     per_page = max(1, nodes_per_page(c.page_size, head["dim"] or 0, c.degree, code_bytes))
-    placed = index.join(pages(order(index, packing, per_page, c.seed), per_page), ["shard", "id"])
+    placed = index.join(pages(order(index, packing, per_page, c.seed), per_page, index), ["shard", "id"])
     placed.repartition("shard").sortWithinPartitions("shard", "page_id", "slot").write.partitionBy("shard").parquet(f"{path}/nodes")
     meta = {"format": "vecloom-graph", "version": 1, "vectors": head["n"], "dim": head["dim"], "per_page": per_page, "config": asdict(c)}
     spark = index.sparkSession
