@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from llm_cases import documents, edge_documents
 from test_simhash_dedup import groups
-from vecloom.llm import near_copies as N
+from vecloom.llm import near_copies as N, simhash_dedup
 
 
 def sets(text):
@@ -154,3 +154,19 @@ def test_edges(spark):
     assert left.columns == docs.columns
     assert sorted((r["doc_id"] or -1) for r in left.collect()) == [-1, 1, 3, 4, 4, 6]
     assert N.keep_first(docs.limit(0)).count() == 0
+
+
+def test_similarity_mode_links_by_golay_keys(spark, monkeypatch):
+    """Without candidates of shared shingles, operator 6's own fingerprints, keys and links find light edits; sets decide on them too."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(0, 60, 3):
+        w = [rng.choice("abcdefgh") * rng.randint(1, 9) + str(rng.randint(0, 999)) for _ in range(900)]
+        edited = [*w, "end"]
+        rows += [(i, " ".join(w)), (i + 1, " ".join(edited)), (i + 2, " ".join(reversed(w)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {i for i in range(0, 60, 3) if (simhash_dedup.fingerprint(rows[i][1]) ^ simhash_dedup.fingerprint(rows[i + 1][1])).bit_count() <= 2}
+    assert len(near) > 10
+    monkeypatch.setattr(N, "links", lambda first, similarity: spark.createDataFrame([], "a long, b long"))
+    kept = {r["doc_id"] for r in simhash_dedup.keep_similar(docs).collect()}
+    assert kept == {i for i, _ in rows} - {i + 1 for i in near}

@@ -10,7 +10,8 @@ are more than u, fewer do: of a shingles in random order the first k are all mis
 and k is chosen to make that MISS: 13 keys for a text of rare shingles, of whatever length.
 
 1. Texts of equal words become one node, by their digest.
-2. Each node gives its keys. Nodes that share a key are linked if their sizes allow it and their fingerprints are within
+2. Each node gives its keys, and operator 6 the links of its own fingerprints (SimHash of 64 bits, Golay keys, two bits at
+   most), which are candidates likewise. Nodes that share a key are linked if their sizes allow it and their fingerprints are within
    FAR bits, which similar sets miss by seven standard deviations. In crowds of one key that nobody knew to be common,
    windows of rows are compared and neighbouring windows are linked outright; a key known to be very common links its
    nodes outright, through a node of its own. Connected components of all these links are families.
@@ -28,7 +29,7 @@ are equal to each other; very long texts have as many keys as others; columns ma
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log
 
 import numpy as np
@@ -141,15 +142,15 @@ def keys(h: np.ndarray, often: np.ndarray, n: np.ndarray, similarity: float = SI
 SKETCH = "digest binary, n int, f array<long>, keys array<long>, crowded array<long>"
 
 
-def sketches(slim: DataFrame, text_col: str, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD) -> DataFrame:
-    """slim with the digest of its words, the number of shingles, the fingerprint and the keys."""
+def sketches(slim: DataFrame, text_col: str, similarity: float = SIMILARITY, block: int = BLOCK, crowd: int = CROWD, simhash: Callable[[str], int] | None = None) -> DataFrame:
+    """slim with the digest of its words, the number of shingles, the fingerprint and the keys; with `simhash`, also fp, what that gives for a text (64 bits)."""
     sent = slim.sparkSession.sparkContext.broadcast(common(slim, text_col, block))  # COMMON x 16 bytes at most
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often, n = sent.value
         longs = pa.list_(pa.int64())
         for part, values in texts(batches, text_col):
-            digest, size, f, found = [], [], [], []
+            digest, size, f, found, fp = [], [], [], [], []
             for x in values:
                 w = words(x)
                 h = hashes(w)
@@ -157,9 +158,11 @@ def sketches(slim: DataFrame, text_col: str, similarity: float = SIMILARITY, blo
                 size.append(len(h))
                 f.append(fingerprint(h).view(np.int64))
                 found.append([k.view(np.int64) for k in keys(h, often, n, similarity, crowd)])
-            yield append(part, digest=pa.array(digest, pa.binary()), n=pa.array(size, pa.int32()), f=pa.array(f, longs), keys=pa.array([k for k, _ in found], longs), crowded=pa.array([k for _, k in found], longs))
+                fp += [simhash(x)] if simhash else []
+            more = {"fp": pa.array(np.array(fp, np.uint64).view(np.int64))} if simhash else {}
+            yield append(part, digest=pa.array(digest, pa.binary()), n=pa.array(size, pa.int32()), f=pa.array(f, longs), keys=pa.array([k for k, _ in found], longs), crowded=pa.array([k for _, k in found], longs), **more)
 
-    return slim.mapInArrow(kernel, appended(slim.schema, SKETCH))
+    return slim.mapInArrow(kernel, appended(slim.schema, SKETCH + ", fp long" if simhash else SKETCH))
 
 
 def _pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, f: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -361,20 +364,30 @@ def verified(families: DataFrame, found: DataFrame, text_col: str, similarity: f
     return out
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, chunk: int = BLOCK, family: int = FAMILY, across: int = ACROSS, crowd: int = CROWD) -> DataFrame:
-    """The documents with one row of each group left: that of the smallest id (of repeated rows, one)."""
+def _near_marks(first: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """first: node, fp, materialized. Links (a, b) of nodes that connect those of equal fp and of linked ones (a, b of fp)."""
+    heads = materialize(first.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = first.select("node", "fp").join(heads, "fp").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b"))
+    a, b = (heads.select(F.col("fp").alias(c), F.col("head").alias(f"head_{c}")) for c in "ab")
+    return same.union(linked(heads.select("fp")).join(a, "a").join(b, "b").select("head_a", "head_b"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, chunk: int = BLOCK, family: int = FAMILY, across: int = ACROSS, crowd: int = CROWD, simhash: Callable[[str], int] | None = None, linked: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The documents with one row of each group left: that of the smallest id (of repeated rows, one). simhash: the 64-bit fingerprint of a text; linked: of a column fp of these, the links (a, b), which are candidates beside those of shared keys."""
     slim, t = numbered(docs, text_col)
-    found = materialize(sketches(slim, t, similarity, chunk, crowd).withColumn("rid", F.monotonically_increasing_id()), "sketches")
+    found = materialize(sketches(slim, t, similarity, chunk, crowd, simhash).withColumn("rid", F.monotonically_increasing_id()), "sketches")
     i = F.col(f"c{docs.columns.index(id_col)}")
     order = F.struct(i.isNull().alias("none"), i.alias("id"), "rid")
+    marks = ["fp"] if simhash else []
     with owned("near copies"):
-        first = found.groupBy("digest").agg(F.min(order).alias("o"), *(F.first(c).alias(c) for c in ("n", "f", "keys", "crowded")))
-        first = materialize(first.select(F.col("o.rid").alias("node"), "o", "n", "f", "keys", "crowded"), "nodes")
-        loose = components(links(first, similarity))
+        first = found.groupBy("digest").agg(F.min(order).alias("o"), *(F.first(c).alias(c) for c in ("n", "f", "keys", "crowded", *marks)))
+        first = materialize(first.select(F.col("o.rid").alias("node"), "o", "n", "f", "keys", "crowded", *marks), "nodes")
+        met = links(first, similarity)
+        loose = components(met.union(_near_marks(first, linked)) if simhash else met)
         rows = loose.select("node", F.col("root").alias("family")).union(loose.select("root", "root").distinct())
         families = materialize(rows.join(first.select("node", "n"), "node"), "families")
-        linked = components(verified(families, found, t, similarity, family, across))
-    grouped = first.select("node", "o").join(linked, "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
+        grouped = components(verified(families, found, t, similarity, family, across))
+    grouped = first.select("node", "o").join(grouped, "node", "left").select(F.coalesce("root", "node").alias("root"), "o")
     winners = materialize(grouped.groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.rid").alias("rid")), "winners")
     release("near copies")
     return named(found.join(winners.hint("merge"), "rid", "left_semi"), docs.columns)

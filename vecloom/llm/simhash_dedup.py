@@ -201,5 +201,5 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = near_copies.SIMILARITY) -> DataFrame:
-    """keep_first by similarity on five-word shingles instead of by two bits, which is what texts at 0.8 need: SimHash sifts, and near_copies tells how candidates are found."""
-    return near_copies.keep_first(docs, id_col, text_col, similarity)
+    """keep_first by similarity on five-word shingles instead of by two bits. Fingerprints, Golay keys and links are those of dedup(); texts at 0.8 lie farther apart, so near_copies adds candidates by shared shingles, and sets of shingles decide on all."""
+    return near_copies.keep_first(docs, id_col, text_col, similarity, simhash=fingerprint, linked=links)
