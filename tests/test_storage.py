@@ -225,3 +225,36 @@ def test_results(spark, engine, tmp_path):
     assert (spark.read.option("header", True).csv(str(tmp_path / "m.csv")).columns)[:3] == ["scenario", "read_ratio", "write_ratio"]
     assert workload.summarize([]) == {"avg": 0.0, "p50": 0.0, "p95": 0.0, "p99": 0.0, "p999": 0.0}
     assert workload.summarize([float(x) for x in range(1, 11)])["p95"] == 10
+
+
+def test_reads_of_few_vectors_at_many_times(spark, monkeypatch):
+    """Distances are taken once for each distinct vector; every read gets what a plain search as of its time gives."""
+    rng = np.random.default_rng(8)
+    n, k = 3000, 4
+    since = rng.integers(0, 500, n)
+    rows = [(int(i // 3) * 10**12 + i % 3, x.tolist(), int(s), int(s + w)) for i, (x, s, w) in enumerate(zip(rng.integers(0, 6, (n, 3)).astype(float), since, rng.integers(0, 200, n)))]
+    base = spark.createDataFrame(rows, "id long, v array<double>, since long, until long").repartition(4)
+    asked = rng.integers(0, 6, (7, 3)).astype(float)
+    reads = [(i, asked[i % 7].tolist(), int(a)) for i, a in enumerate(rng.integers(-5, 720, 400))]
+    frame = spark.createDataFrame(reads, "qid long, qv array<double>, at long")
+    want = {}
+    for i, q, at in reads:
+        seen = sorted((((np.array(v) - q) ** 2).sum(), x) for x, v, s, u in rows if s <= at < u)[:k]
+        want |= {(i, r + 1): (x, d) for r, (d, x) in enumerate(seen)}
+    for pending, block in ((1, None), (1 << 18, 2)):
+        monkeypatch.setattr(knn, "PENDING", pending)
+        got = knn.exact_as_of(base, frame, k, 3, block).collect()
+        assert len(got) == len(want) and {(r["qid"], r["rk"]): (r["id"], r["dist"]) for r in got} == want
+    assert knn.exact_as_of(base, frame.limit(0), k, 3).count() == 0 and knn.exact_as_of(base, frame, 0, 3).count() == 0
+
+
+def test_a_vector_is_searched_once(spark):
+    frame = spark.createDataFrame([(i, [float(i % 2)], i) for i in range(10)], "qid long, qv array<double>, at long")
+    base, asked = spark.createDataFrame([(5, [0.25]), (6, [2.0])], "id long, v array<double>"), []
+
+    def search(q):
+        asked.append(q.count())
+        return knn.exact(base, q, 1, 1)
+
+    found = knn.for_each(frame, search, 1)
+    assert asked == [2] and sorted((r["qid"], r["id"]) for r in found.collect()) == [(i, 5) for i in range(10)]

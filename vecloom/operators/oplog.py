@@ -81,12 +81,12 @@ def versions(log: DataFrame, dim: int | None = None) -> DataFrame:
 
 def topk_as_of(log: DataFrame, reads: DataFrame, k: int, dim: int) -> DataFrame:
     """reads: qid, qv, at. Of the log's versions, the k nearest that each read sees, all reads in one pass."""
-    return knn.exact_blocks(versions(log, dim), reads.withColumn("skip", F.lit(None).cast("long")), k, dim)
+    return knn.exact_as_of(versions(log, dim), reads, k, dim)
 
 
 def merged_as_of(base: DataFrame, log: DataFrame, reads: DataFrame, k: int, dim: int, base_top: DataFrame | None = None) -> DataFrame:
     """reads: qid, qv, at. merged_topk for reads that are each as of their own sequence."""
-    top = knn.exact(base, reads.select("qid", "qv"), k, dim) if base_top is None else base_top
+    top = knn.for_each(reads, lambda q: knn.exact(base, q, k, dim), dim) if base_top is None else base_top
     first = log.where(F.col("deleted") | (F.col("dim") == dim)).groupBy("node_id").agg(F.min("seq").alias("touched"))
     seen = top.join(reads.select("qid", "at"), "qid").join(first, top["id"] == first["node_id"], "left")
     left = seen.where(F.col("touched").isNull() | (F.col("touched") > F.col("at"))).select("qid", "id", "dist")
@@ -97,7 +97,7 @@ def exact_as_of(base: DataFrame, log: DataFrame, reads: DataFrame, k: int, dim:
     """reads: qid, qv, at. The k nearest of all that is live for each read: base rows count until their node is first written."""
     first = log.where(F.col("deleted") | (F.col("dim") == dim)).groupBy("node_id").agg(F.min("seq").alias("touched"))
     old = base.join(first, base["id"] == first["node_id"], "left").select("id", F.col("v").cast("array<double>").alias("v"), F.lit(0).cast("long").alias("since"), F.coalesce("touched", F.lit((1 << 63) - 1)).alias("until"))
-    return knn.exact_blocks(old.unionByName(versions(log, dim)), reads.withColumn("skip", F.lit(None).cast("long")), k, dim)
+    return knn.exact_as_of(old.unionByName(versions(log, dim)), reads, k, dim)
 
 
 def incremental_neighbors(log: DataFrame, targets: DataFrame, degree: int = 16) -> DataFrame:

@@ -74,9 +74,8 @@ class Engine:
     def search_as_of(self, reads: DataFrame, k: int | None = None) -> DataFrame:
         """reads: qid, qv, at. Many reads, each as of its own sequence: the base's hits without what was overwritten by then, and what was written."""
         k = self.config.search.k if k is None else k
-        if not self.store:
-            return self._base_top(reads.select("qid", "qv"), k)
-        return oplog.merged_as_of(self.base, self.store.log(), reads, k, self.config.dim, base_top=self._base_top(reads.select("qid", "qv"), k))
+        top = knn.for_each(reads, lambda q: self._base_top(q, k), self.config.dim)
+        return oplog.merged_as_of(self.base, self.store.log(), reads, k, self.config.dim, base_top=top) if self.store else top
 
     def truth_as_of(self, reads: DataFrame, k: int) -> DataFrame:
         return oplog.exact_as_of(self.base, self.store.log() if self.store else self.spark.createDataFrame([], oplog.SCHEMA), reads, k, self.config.dim)
